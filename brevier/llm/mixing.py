@@ -4,8 +4,8 @@ Targets: sources in code point order (null last) carry the weights in turn and s
 words; no source exceeds ``max_epochs`` times its size, and what it cannot take goes to the
 others by weight (water level over the sources sorted by size / weight).  Within a source
 documents stand in a seeded order; whole epochs take every document, and the last, partial
-epoch takes those whose middle word lies within the words still due, so the total is off by
-at most half a document.
+epoch takes documents in that order until the words due are reached.  The document in which
+that happens is cut there, so a source's total misses its target by less than a word.
 
 Curriculum: source s has the weight schedule 1 + slope_s (2t - 1) over training time
 t in [0, 1].  Its integral, the share of the source's words due by time t, is
@@ -75,14 +75,13 @@ def plan_mix(
     placed = ranking.running(rows, ["stratum"], order, ["size"], targets)
     size, total = F.col("size"), F.col("source_size")
     epochs = F.when(total > 0, F.floor(F.col("target") / total)).otherwise(F.lit(0)).cast("long")
-    left = F.col("target") - F.col("epochs") * total
-    extra = F.when((size > 0) & (F.col("size_before") + size / F.lit(2.0) <= left), 1).otherwise(0)
-    placed = placed.withColumn("epochs", epochs).withColumn(
-        "copies", F.when(size > 0, F.col("epochs") + extra).otherwise(F.lit(0)).cast("long")
-    )
+    due = F.floor(F.col("target") - F.col("epochs") * total) - F.col("size_before")
+    placed = placed.withColumn("epochs", epochs).withColumn("part", F.greatest(F.least(due, size), F.lit(0)).cast("long"))
     return placed.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * size).alias("taken"), "copies",
-        "slope", "size_before",
+        "doc_id", "size", "source_size", "target",
+        (F.col("epochs") * size + F.col("part")).alias("taken"),
+        F.when(size > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0).cast("long")).alias("copies"),
+        "epochs", "part", "slope", "size_before",
     )
 
 
@@ -103,14 +102,18 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     plan = plan_mix(docs, **options).where("copies > 0")
     plan = plan.groupBy(F.struct("doc_id", "size").alias("mix_key")).agg(
         F.max("copies").alias("copies"),
-        *[F.min(c).alias(c) for c in ("size", "source_size", "target", "slope", "size_before")],
+        *[F.max(c).alias(c) for c in ("size", "source_size", "target", "epochs", "part", "slope")],
+        F.min("size_before").alias("size_before"),
     )
     words = F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")
     rows = docs.select(F.struct("doc_id", words).alias("mix_key"), F.struct("*").alias("mix_doc"))
+    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("part").cast("string"), F.lit("}"))
+    cut = (F.col("mix_copy") == F.col("epochs")) & (F.col("part") < F.col("size"))
+    text = F.when(cut, F.regexp_extract("mix_doc.text", head, 0)).otherwise(F.col("mix_doc.text"))
     copies = (
         rows.join(plan, "mix_key")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
         .withColumn("mix_position", position(F.col("mix_copy")))
-        .select("mix_doc.*", "mix_copy", "mix_position")
+        .select(*[text.alias(c) if c == "text" else F.col(f"mix_doc.`{c}`") for c in docs.columns], "mix_copy", "mix_position")
     )
     return copies.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
