@@ -107,9 +107,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     )
     words = F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")
     rows = docs.select(F.struct("doc_id", words).alias("mix_key"), F.struct("*").alias("mix_doc"))
-    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("part").cast("string"), F.lit("}"))
+    head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("part").cast("string"), F.lit("}+"))
     cut = (F.col("mix_copy") == F.col("epochs")) & (F.col("part") < F.col("size"))
-    text = F.when(cut, F.regexp_extract("mix_doc.text", head, 0)).otherwise(F.col("mix_doc.text"))
+    text = F.when(cut, F.regexp_substr("mix_doc.text", head)).otherwise(F.col("mix_doc.text"))
     copies = (
         rows.join(plan, "mix_key")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))

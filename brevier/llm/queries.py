@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_template, mixing, pii, quality, sharding
+from . import embed_dedup, line_template, mixing, packing, pii, quality, sharding, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and the executors'."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
@@ -25,6 +32,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    store = token_store.write_store(documents(spark, sf_dir), tokenizer or vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_spans(store)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer or vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, sf_dir))
     return placed.select(
@@ -55,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op7_sharding, op8_mixing, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op3_token_store, op4_embedding_dedup, op6_packing, op7_sharding, op8_mixing, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
