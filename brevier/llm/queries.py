@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, line_template, mixing, packing, pii, quality, sharding, token_store
+from . import embed_dedup, line_template, mixing, ngram_join, packing, pii, quality, sharding, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = ngram_join.similarity_classes(documents(spark, sf_dir), width=3, percent=90)
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     store = token_store.write_store(documents(spark, sf_dir), tokenizer or vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_store.read_spans(store)
@@ -75,7 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_token_store, op4_embedding_dedup, op6_packing, op7_sharding, op8_mixing, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_token_store, op4_embedding_dedup, op6_packing, op7_sharding, op8_mixing, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

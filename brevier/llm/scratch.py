@@ -7,6 +7,7 @@ recomputation of the stages before it.  The folder comes from ``spark.checkpoint
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,3 +48,9 @@ def drop(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that only written-out tables needed."""
+    gc.collect()
+    spark._jvm.System.gc()
