@@ -243,7 +243,8 @@ def family_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFram
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, place (a hash of the text) for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, place (a hash of the text), root (of the class; null
+    for an empty set) for each row of ``docs``."""
     sets = document_sets(docs, width, percent)
     rows = prefixes(docs, width, percent, frequent(sets))
     scratch.release(docs.sparkSession)
@@ -261,18 +262,21 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     some = some.select("doc_id", "place", "n_shingles", F.coalesce("root", "fp").alias("root"))
     some = scratch.save(some, "ngram-rows")
     least = scratch.save(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-least")
-    joined = some.join(least, "root").select("doc_id", "n_shingles", "component_id", "place")
-    none = base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "place")
+    columns = ("doc_id", "n_shingles", "component_id", "place", "root")
+    joined = some.join(least, "root").select(*columns)
+    none = base.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("long")})
+    none = none.select(*columns)
     return joined.unionByName(none)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each class: the one with its smallest doc_id (then text hash);
-    texts without words are classes of their own."""
+    """``docs`` with one row of each class, the one with its smallest doc_id (then text hash);
+    rows without words all stay, rows that repeat doc_id and text stay once."""
     classes = similarity_classes(docs, width, percent)
-    key = F.when(F.col("n_shingles") > 0, F.struct("component_id")).alias("class")
-    keep = classes.where("n_shingles > 0").groupBy("component_id").agg(F.min("place").alias("p"), F.min(F.struct("doc_id", "place")).alias("at"))
-    del key
-    at = F.struct("doc_id", F.xxhash64("text").alias("place")).alias("at")
-    rows = docs.select(F.struct("*").alias("doc"), at)
-    return rows.join(keep.select("at"), "at", "left_semi").select("doc.*")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    keep = classes.where("n_shingles > 0").groupBy("root").agg(F.min(at).alias("at")).select("at")
+    keep = scratch.save(keep.unionByName(classes.where("n_shingles = 0").select(at.alias("at")).distinct()), "ngram-keep")
+    place = F.xxhash64("text").alias("place")
+    rows = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", place).alias("at"))
+    kept = rows.join(keep, "at", "left_semi").groupBy("at").agg(F.first("doc").alias("doc"))
+    return kept.select("doc.*")

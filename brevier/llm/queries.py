@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, line_template, mixing, ngram_join, packing, pii, quality, sharding, token_store
+from . import embed_dedup, license_scan, line_template, mixing, ngram_join, packing, pii, quality, sharding, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.dedup_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer or vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -80,7 +84,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_token_store, op4_embedding_dedup, op6_packing, op7_sharding, op8_mixing, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_token_store, op4_embedding_dedup, op5_license_scan, op6_packing, op7_sharding, op8_mixing, op9_quality, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
