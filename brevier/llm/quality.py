@@ -104,7 +104,9 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = F.col("clean_chars") < (1 - MAX_LOST) * F.col("word_chars")
     d = d.withColumns({"base_failed": base, "kept": ~(base | lost)})
-    return d.select("doc", F.struct(
+    found = F.struct(
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "clean_chars", "base_failed", "kept", "clean_text",
-    ).alias("quality"))
+    )
+    # a generator keeps filters on the verdict from being written out over all of the above
+    return d.select("doc", F.explode(F.array(found)).alias("quality"))
