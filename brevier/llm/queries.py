@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embed_dedup, license_scan, line_template, mixing, ngram_join, packing, pii, quality, sharding, token_store
+from .oracle import oracle_sql as oracle_sql
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_ngram_join, op3_token_store, op4_embedding_dedup, op5_license_scan, op6_packing, op7_sharding, op8_mixing, op9_quality, op10_line_dedup)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
