@@ -3,9 +3,9 @@
 A line descends by its token count and its first ``DEPTH`` tokens, where a token with a
 digit, an ``@`` or ``://`` counts as a variable field.  In each leaf that recurs across
 documents, the commonest token of every place is the leaf's template; a place without a
-commonest token in at least half of the lines is variable.  A line that agrees with the
-template in at least ``SIMILARITY`` of the places carries it; any other line is a template
-of its own (fields still generalised).  Templates found in ``MIN_DOCS`` or more different
+commonest token in at least half of the lines is variable.  A line that has the template's
+word, not just a field, in at least ``SIMILARITY`` of its places carries it; any other line
+is a template of its own, word for word.  Templates found in ``MIN_DOCS`` or more different
 texts are dropped from all documents but the first (smallest doc_id) that has them.
 
 Exact copies of a text count once, so copies alone make nothing recur.  Lines under
@@ -56,10 +56,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     leaves = scratch.save(_texts_with(_lines(docs).select("leaf", "h"), "leaf"), "line-leaves")
     if leaves.count() <= MOST_BROADCAST:
         leaves = F.broadcast(leaves)
-    masked = F.transform("tokens", _masked).alias("tokens")
-    lines = scratch.save(_lines(docs).join(leaves, "leaf").select("doc_id", "h", "i", "leaf", masked), "line-candidates")
+    lines = scratch.save(_lines(docs).join(leaves, "leaf").select("doc_id", "h", "i", "leaf", "tokens"), "line-candidates")
 
-    places = lines.select("leaf", F.posexplode("tokens").alias("place", "token"))
+    masked = F.transform("tokens", _masked)
+    places = lines.select("leaf", F.posexplode(masked).alias("place", "token"))
     counts = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     top = counts.groupBy("leaf", "place").agg(
         F.min(F.struct((-F.col("n")).alias("minus"), "token")).alias("best"), F.sum("n").alias("all")
@@ -73,9 +73,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     )
     template = scratch.save(template, "line-templates")
 
-    agree = F.aggregate(
-        F.zip_with("tokens", "template", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x
-    )
+    word = lambda a, b: F.when((a == b) & (a != "<*>"), 1).otherwise(0)
+    agree = F.aggregate(F.zip_with(masked, "template", word), F.lit(0), lambda s, x: s + x)
     own = F.xxhash64("leaf", F.concat_ws(" ", "tokens"))
     keyed = lines.join(template, "leaf").select(
         "doc_id", "h", "i", F.when(agree >= SIMILARITY * F.size("tokens"), F.col("leaf")).otherwise(own).alias("key")

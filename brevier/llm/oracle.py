@@ -149,7 +149,7 @@ def _lines() -> str:
     m = line_template
     mask = f"CASE WHEN regexp_matches(w, '{m.FIELD}') THEN '<*>' ELSE w END"
     return f"""WITH r AS (SELECT doc_id, text, md5(text) AS h, string_split(text, chr(10)) AS ls FROM documents),
-      l0 AS (SELECT doc_id, h, i - 1 AS i, list_transform({words("ls[i]")}, lambda w: {mask}) AS ws
+      l0 AS (SELECT doc_id, h, i - 1 AS i, {words("ls[i]")} AS rw, list_transform({words("ls[i]")}, lambda w: {mask}) AS ws
         FROM (SELECT doc_id, h, ls, unnest(range(1, len(ls) + 1)) AS i FROM r)),
       l1 AS MATERIALIZED (SELECT *, len(ws)::VARCHAR || ' ' || array_to_string(list_slice(ws, 1, {m.DEPTH}), ' ') AS leaf FROM l0 WHERE len(ws) >= {m.MIN_WORDS}),
       hot AS (SELECT leaf FROM l1 GROUP BY 1 HAVING count(DISTINCT h) >= {m.MIN_DOCS}),
@@ -157,8 +157,8 @@ def _lines() -> str:
       c AS (SELECT leaf, place, ws[place] AS token, count(*) AS n FROM (SELECT leaf, ws, unnest(range(1, len(ws) + 1)) AS place FROM l) GROUP BY 1, 2, 3),
       f AS (SELECT leaf, place, arg_min(token, (-n, token)) AS token, 2 * max(n) >= sum(n) AS fixed FROM c GROUP BY 1, 2),
       t AS (SELECT leaf, list(CASE WHEN fixed THEN token END ORDER BY place) AS tpl FROM f GROUP BY 1),
-      k AS MATERIALIZED (SELECT doc_id, h, i, CASE WHEN len(list_filter(list_zip(ws, tpl), lambda z: z[1] = z[2])) >= {m.SIMILARITY}::DOUBLE * len(ws)
-        THEN l.leaf ELSE 'own ' || array_to_string(ws, ' ') END AS key FROM l JOIN t ON t.leaf = l.leaf),
+      k AS MATERIALIZED (SELECT doc_id, h, i, CASE WHEN len(list_filter(list_zip(ws, tpl), lambda z: z[1] = z[2] AND z[1] <> '<*>')) >= {m.SIMILARITY}::DOUBLE * len(ws)
+        THEN l.leaf ELSE 'own ' || l.leaf || array_to_string(rw, ' ') END AS key FROM l JOIN t ON t.leaf = l.leaf),
       z AS (SELECT key, arg_min(h, (doc_id, h)) AS fh, min(doc_id) AS fd FROM k GROUP BY 1 HAVING count(DISTINCT h) >= {m.MIN_DOCS}),
       g AS (SELECT doc_id, h, list(DISTINCT i) AS gone FROM k JOIN z USING (key) WHERE NOT (k.doc_id = fd AND h = fh) GROUP BY 1, 2),
       o AS (SELECT r.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped, CASE WHEN gone IS NULL THEN text ELSE array_to_string(

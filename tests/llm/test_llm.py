@@ -1,0 +1,299 @@
+"""The corpus operators against brute force, on odd rows and on the small tables."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from brevier.llm import embed_dedup, license_scan, line_template, mixing, ngram_join, packing, pii, quality, queries, sharding
+from brevier.llm import shingles as sh
+from brevier.llm import token_store as ts
+from brevier.llm.tokens import encoder
+
+from . import brute
+
+SF = "/root/testdata/sf0.001"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, size long, copies long, h string, doc string, words string, fp long"
+
+
+def vocabulary(name):
+    return queries.vocabulary(name)
+
+
+def odd_rows():
+    rng = random.Random(5)
+    vocab = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    base = prose(80).split()
+    near = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in (3, 40)]
+    long = "\n".join(prose(12) for _ in range(1500))
+    shared = "This very line stands in each of the many texts."
+    texts = [
+        None, "", "   \n\t", "one", "Two WORDS", "two words", " ".join(base), *near, long, "é ü 漢字 😀 a@b.co x", "a\n\nb  c\t d",
+        "mail me: joe@x.org, 10.0.0.255 or 300.1.1.1, card 4111 1111 1111 1111 1, +1 (407) 555-7710.",
+        "card 5500 0000 0000 0004 and 30569309025904; phone 407-555-7710 but call 407-555-7711; ssn 078-05-1120",
+        "iban GB82 WEST 1234 5698 7654 32, DE89370400440532013000, DE88370400440532013000", "same same " * 30,
+        *[f"{prose(6)} number {i}.\n{shared}\n{prose(5)}" for i in range(14)],
+    ]
+    rows = [(i, t, "en", None if i % 7 == 3 else f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [rows[6], rows[6], (None, "no id here at all", "en", "s1")]
+    return [(*r, 0, 1, 2, "x", "y", "z", 3) for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_rows(), KIND).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], KIND)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+TEXTS = {r[0]: r[1] for r in odd_rows()}
+
+
+def test_pii(docs, none):
+    found = pii.find_pii(docs).collect()
+    assert len(found) == len(odd_rows())
+    for r in found:
+        assert [(s["start"], s["rank"], s["end"]) for s in r["base_spans"]] == brute.pii(r["doc"]["text"])
+    by = {r["doc"]["doc_id"]: r for r in found}
+    kinds = lambda i: [s["kind"] for s in by[i]["spans"]]
+    assert kinds(13).count("tel") == 2 and kinds(13).count("ssn") == 1
+    assert kinds(14) == ["iban", "iban"]
+    assert pii.find_pii(none).count() == 0
+    assert "joe@x.org" not in {r["doc_id"]: r["text"] for r in pii.redact(docs.select("doc_id", "text")).collect()}[12]
+
+
+def test_ngram_join(docs, none):
+    keyed = [r for r in odd_rows() if r[0] is not None]
+    sets, low = brute.similar({r[0]: r[1] for r in keyed}.items(), 3, 90)
+    got = ngram_join.similarity_classes(docs, 3, 90).collect()
+    assert len(got) == len(odd_rows())
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), low[r["doc_id"]])
+    kept = ngram_join.one_of_each(docs, 3, 90).collect()
+    ids = [r["doc_id"] for r in kept]
+    assert sorted(i for i in ids if i is not None) == sorted(set(low.values())) and ids.count(None) == 1
+    assert ngram_join.similarity_classes(none, 3, 90).count() == 0
+
+
+def test_ngram_join_of_a_large_group(spark):
+    """Near copies beyond the pair limit go through families of tiles."""
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(w)))
+    _, low = brute.similar(texts, 3, 90)
+    got = ngram_join.similarity_classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), 3, 90)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == low
+
+
+def test_shingles_match_words():
+    texts = [t or "" for t in TEXTS.values()]
+    for t, s in zip(texts, sh.shingle_sets(texts, 3), strict=True):
+        assert len(s) == len(brute.shingles(t, 3))
+
+
+def test_tokens_match_the_library():
+    odd = [t or "" for t in TEXTS.values()] + [" a", "a ", "\na b", "a\n\nb", "\n", " \n ", "a\tb", "x y", "<|endoftext|> a", "İ Σ a", "d'ont it's.", "., ,."]
+    for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        e = encoder(vocabulary(name), drops)
+        whole = [x.ids for x in e.lib.encode_batch(odd, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(odd)] == whole
+        assert [x.tolist() for x in e.encode(odd)] == whole  # and from the memo
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 4095, 4096, 4097, 30000):
+        for most in (1, 2, 300, 32767, 32768, 50257):
+            ids = rng.integers(0, most, n).astype(np.uint32)
+            words, block_words, _, escapes = ts.pack(ids)
+            assert (ts.unpack(words, block_words, escapes, n) == ids).all()
+
+
+def test_token_store(docs, none):
+    path = vocabulary("byte_bpe_50k.json")
+    lib = encoder(path, False).lib
+    got = ts.read_spans(ts.write_store(docs, path, 2)).collect()
+    rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    start, want = 0, []
+    for r in rows:
+        ids = np.array([*lib.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    key = lambda t: (t[1], t[0] or -1)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert ts.read_spans(ts.write_store(none, path, 2)).count() == 0
+
+
+def test_packing(docs, none):
+    path = vocabulary("word_bpe_49k.json")
+    lib = encoder(path, True).lib
+    got = packing.pack_documents(docs, path, 1).collect()
+    pieces = {}
+    for r in odd_rows():
+        ids = np.array([*lib.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        for i, at in enumerate(range(0, len(ids), 4096)):
+            pieces[r[0], i] = (at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == pieces
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 4096 and len(ends) == -(-sum(ends.values()) // 4096)
+    assert packing.pack_documents(none, path, 1).count() == 0
+
+
+def test_packing_plans_hold_every_piece():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 700, 40000):
+        lengths, counts = np.unique(np.clip(rng.lognormal(6, 1.2, n).astype(int), 1, 4096), return_counts=True)
+        plan = packing.fit(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
+        seen = {}
+        for repeats, content in plan.groups():
+            assert repeats > 0 and sum(k * m for k, m in content) <= 4096
+            for k, m in content:
+                seen[k] = seen.get(k, 0) + repeats * m
+        assert seen == dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+
+
+def vectors():
+    rng = np.random.default_rng(2)
+    rows, k = [], 0
+    for label in (0, 1, 2):
+        for _ in range(12):
+            center = rng.normal(size=16)
+            for _ in range(rng.integers(1, 7)):
+                rows.append((k, (center + rng.normal(scale=0.12, size=16)).astype(np.float32).tolist(), label))
+                k += 1
+    rows += [(k, rows[0][1], 0), (k + 1, rows[0][1], 1), (k + 2, None, 0), (k + 3, [0.0] * 16, 0), (k + 4, [float("nan")] * 16, 0)]
+    rows += [(k + 5, rows[0][1], None), (k + 6, [1.0, None], 0), (k + 7, [], 0), (k + 8, rows[0][1][:8], 0), (k + 9, rows[0][1], 0)]
+    return rows
+
+
+def test_embedding_dedup(spark):
+    rows = vectors()
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, dim string").repartition(4)
+    ok = {i: (np.array(v, float), y) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and any(v)}
+    links, n = [], dict.fromkeys((r[0] for r in rows), 0)
+    for i, (a, y) in ok.items():
+        for j, (b, z) in ok.items():
+            if i != j and y == z and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.93:
+                links.append((i, j))
+                n[i] += 1
+    low = brute.roots([r[0] for r in rows], links)
+    for tile in (5, 1024):
+        got = embed_dedup.dedup_vectors(df, tile=tile).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n[i], low[i], low[i] == i) for i in n}
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embed_dedup.dedup_vectors(empty).count() == 0
+
+
+def test_licenses(docs, none):
+    rng = random.Random(0)
+
+    def damaged(s):
+        s = list(s)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(s))
+            s[i] = rng.choice(["", "x", s[i] + "q", " "])
+        return "".join(s)
+
+    _, patterns = license_scan._machine()
+    for _ in range(200):
+        line, _ = license_scan.words_line(f"Some prose, {damaged(rng.choice(license_scan.NOTICES)[0])} and more; under the MIT License")
+        whole = {k for k, p in enumerate(patterns) if p.search(line)}
+        assert {k for k, *_ in license_scan.near_notices(line)} == whole
+    r = license_scan.scan("Under the MIT license, UNDER THE MIT-LICENSE cc by-nc")
+    assert r[:6] == (11, 3, 0, 8, "cc-by-nc,mit", "cc-by-nc,mit") and r[6] == 1.0
+    assert license_scan.scan("Licensed under the Apach License, Version 2.0")[4:6] == ("", "apache-2")
+    assert license_scan.scan("")[:4] == (0, 0, None, None)
+    assert license_scan.scan_licenses(docs).count() == len(odd_rows())
+    assert license_scan.scan_licenses(none).count() == 0
+
+
+def test_sharding(docs, none):
+    got = sharding.shard_documents(docs, shards=4).collect()
+    assert len(got) == len(odd_rows())
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(got) / 4) < 1
+    for r in got:
+        text = (TEXTS[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(text) + 1, zlib.crc32(text))
+    again = sharding.shard_documents(docs.repartition(7), shards=4).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert sharding.shard_documents(none).count() == 0
+
+
+def test_mixing(docs, none):
+    plan = mixing.plan_mix(docs).collect()
+    assert len(plan) == len(odd_rows())
+    sizes = {}
+    for r in odd_rows():
+        sizes[r[3]] = sizes.get(r[3], 0) + len(brute.words(r[1]))
+    want, source = brute.targets(sizes), {r[0]: r[3] for r in odd_rows()}
+    taken = dict.fromkeys(sizes, 0)
+    for r in plan:
+        s = source[r["doc_id"]]
+        assert r["size"] == len(brute.words(TEXTS[r["doc_id"]])) and r["taken"] <= 3 * r["size"]
+        assert abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == sizes[s]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) < 1.001 for s in sizes)
+    mixed = mixing.mix_documents(docs).collect()
+    assert sum(len(brute.words(r["text"])) for r in mixed) == sum(taken.values())
+    assert all(0 <= r["mix_position"] <= 1 for r in mixed)
+    assert mixing.plan_mix(none).count() == 0 and mixing.mix_documents(none).count() == 0
+
+
+def test_quality(docs, none):
+    got = quality.judge_documents(docs).collect()
+    assert len(got) == len(odd_rows())
+    for r in got:
+        q = r["quality"]
+        want = brute.quality(r["doc"]["text"])
+        assert tuple(q[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert q["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (q["kept"] and q["base_failed"])
+    assert quality.judge_documents(none).count() == 0
+    lines = ["A clean line of words that ends well.", "home | about | news | shop", "W*** a### b$$$ c%%%", "GO!! NOW!! BUY!!"]
+    only = docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, line string")
+    fails = only.select("doc_id", quality.line_fails(only["line"]).alias("f")).collect()
+    assert [r["f"] for r in sorted(fails)] == [False, True, True, True]
+
+
+def test_line_templates(docs, none):
+    out = {r["doc"]["doc_id"]: r for r in line_template.drop_recurring_lines(docs).collect()}
+    assert out[0]["clean_text"] is None and out[16]["n_dropped"] == 0
+    for i in range(17, 30):
+        text = TEXTS[i].split("\n")
+        assert out[i]["clean_text"] == f"{text[0]}\n{text[2]}"
+    assert out[6]["n_dropped"] == 0  # copies of one text make nothing recur
+    assert line_template.drop_recurring_lines(none).count() == 0
+
+
+def test_queries_are_registered():
+    names = sorted(queries.queries())
+    assert len(names) == 10 and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+
+
+def test_spans_digest(spark):
+    got = by_id(queries.op1_pii(spark, SF))
+    texts = {r["doc_id"]: r["text"] for r in queries.documents(spark, SF).collect()}
+    kinds = ("email", "ip", "card", "phone")
+    for i, r in got.items():
+        written = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in brute.pii(texts[i]))
+        assert r["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
