@@ -36,19 +36,16 @@ from . import scratch, shingles
 from .components import components
 from .token_store import _arrow, text_steps
 
-HOT, HOT_LEAST, SMALL, FRAGMENTS = 1 << 20, 64, 32, 8
+HOT, HOT_LEAST, SMALL, FRAGMENTS = 1 << 20, 32, 32, 8
 TILE_LEAST, TILE_MOST, TILES = 128, 4096, 32
+#: Bits of the map of rows whose sets are fetched: 2 MB, whatever the input.
+CELLS = 1 << 24
 
 
 def _prefix(n: np.ndarray | int, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def _sets(batch_rows, width: int):
-    for keys, texts in batch_rows:
-        yield from zip(keys, texts, shingles.shingle_sets(texts, width), strict=True)
-
-
 def _signed(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Signed keys in the global order: by hash, with the frequent n-grams above the others."""
     low = (hashes >> np.uint64(1)).astype(np.int64)
@@ -119,18 +116,20 @@ def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
     shared = rows.withColumns({"a": F.min("fp").over(same), "b": F.max("fp").over(same)}).where("a != b")
     shared = scratch.save(shared.select("key", "fp", "n", "last").distinct(), "ngram-shared")
     sizes = scratch.save(shared.groupBy("key").agg(F.count("*").alias("size")), "ngram-sizes")
-    return scratch.save(shared.join(sizes, "key"), "ngram-prefixes")
+    out = scratch.save(shared.join(sizes, "key"), "ngram-prefixes")
+    scratch.drop(shared)
+    return out
 
 
 def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """x, y, nx, ny of pairs that their prefix overlap still allows (n-grams of few classes)."""
+    """x, y, nx, ny, c (shared) of pairs that their prefix overlap still allows (n-grams of few classes)."""
     few = rows.where(F.col("size") <= SMALL).drop("size")
     x = few.select("key", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("last").alias("lx"))
     y = few.select("key", F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("last").alias("ly"))
     pairs = x.join(y, "key").where(f"(nx < ny OR nx = ny AND x < y) AND 100 * nx >= {percent} * ny")
     pairs = pairs.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.count("*").alias("c"))
     beyond = f"(CASE WHEN lx <= ly THEN nx ELSE ny END * {percent} + 99) div 100 - 1"
-    return pairs.where(f"{100 + percent} * (c + {beyond}) >= {percent} * (nx + ny)").select("x", "y", "nx", "ny")
+    return pairs.where(f"{100 + percent} * (c + {beyond}) >= {percent} * (nx + ny)").select("x", "y", "nx", "ny", "c")
 
 
 def families(rows: DataFrame) -> DataFrame:
@@ -148,27 +147,39 @@ def families(rows: DataFrame) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Written: fp, fragment, part (sorted hashes) for the classes in ``wanted``."""
+    """Written: fp, parts (sorted hashes of each fragment) for the classes in ``wanted``; a
+    class appears twice where rows repeat its doc_id and text."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first")
     places = sets.where("n > 0").groupBy("fp").agg(first)
-    places = wanted.join(places, "fp").select("fp", F.struct("first.doc_id", "first.place").alias("at"))
-    places = scratch.save(places, "ngram-wanted")
-    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("place")).alias("at"), "text")
-    kind = "fp long, fragment int, part binary"
+    places = scratch.save(wanted.join(places, "fp").select("fp", "first.doc_id", "first.place"), "ngram-wanted")
+
+    # a bitmap of fixed size tells tasks which rows may be wanted; the join below is exact
+    cell = F.pmod(F.xxhash64("doc_id", "place"), F.lit(CELLS)).alias("cell")
+    word = F.floor(F.col("cell") / 64).alias("word")
+    bit = F.bit_or(F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")).alias("bits")
+    found = places.select(cell).groupBy(word).agg(bit).toPandas()
+    bitmap = np.zeros(CELLS // 64, np.int64)
+    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    kind = "doc_id long, place long, fp long, parts array<binary>"
 
     def run(batches):
         cuts = (np.arange(1, FRAGMENTS).astype(np.uint64)) * np.uint64((1 << 64) // FRAGMENTS)
-        for fps, texts in text_steps(batches):
-            out = []
-            for fp, s in zip(fps, shingles.shingle_sets(texts, width), strict=True):
-                if shingles.set_id(s) == fp:
-                    out += [(fp, i, part.tobytes()) for i, part in enumerate(np.split(s, np.searchsorted(s, cuts)))]
-            if out:
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _arrow(kind), strict=True)]
+        for batch in batches:
+            cells = np.asarray(batch.column("cell"))
+            hits = batch.filter(pa.array((bitmap[cells // 64] >> (cells % 64)) & 1 == 1))
+            for at, (ids, texts) in _steps(hits):
+                sets = list(shingles.shingle_sets(texts, width))
+                parts = [[p.tobytes() for p in np.split(s, np.searchsorted(s, cuts))] for s in sets]
+                columns = [
+                    pa.array(ids, pa.int64()), hits.column("place").slice(at, len(ids)),
+                    pa.array([shingles.set_id(s) for s in sets], pa.int64()), pa.array(parts, pa.list_(pa.binary())),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, schema=_arrow(kind))
 
-    found = rows.join(places, "at").select(F.col("fp").alias("doc_id"), "text")
-    return scratch.save(found.mapInArrow(run, kind), "ngram-fragments")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("place"), "text").select("*", cell)
+    sets = rows.mapInArrow(run, kind)
+    same = sets["doc_id"].eqNullSafe(places["doc_id"]) & (sets["place"] == places["place"]) & (sets["fp"] == places["fp"])
+    return scratch.save(sets.join(places, same, "left_semi").select("fp", "parts"), "ngram-fragments")
 
 
 def pair_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -184,8 +195,8 @@ def pair_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             columns = [b.column(c) for c in ("x", "y", "nx", "ny", "fragment")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(overlaps, pa.int64())], schema=_arrow(kind))
 
-    x = parts.select(F.col("fp").alias("x"), "fragment", F.col("part").alias("p"))
-    y = parts.select(F.col("fp").alias("y"), "fragment", F.col("part").alias("q"))
+    x = parts.select(F.col("fp").alias("x"), F.posexplode("parts").alias("fragment", "p"))
+    y = parts.select(F.col("fp").alias("y"), F.posexplode("parts").alias("fragment", "q"))
     partial = pairs.join(x, "x").join(y, ["y", "fragment"]).select("x", "y", "nx", "ny", "fragment", "p", "q")
     partial = partial.mapInArrow(count, kind)
     # a class read twice (rows that repeat a doc_id) gives equal counts: max keeps one
@@ -194,11 +205,24 @@ def pair_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return sums.where(f"100 * i >= {percent} * (nx + ny - i)").select("x", "y")
 
 
+def best_then_rest(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Written links: each class's most promising pair is verified first; of the other pairs
+    only those whose ends are not connected by then can matter and are verified."""
+    best = pairs.groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("y", F.col("best.x").alias("x"))
+    first = scratch.save(pairs.join(best, ["x", "y"], "left_semi"), "ngram-first")
+    links = scratch.save(pair_links(first, parts, percent), "ngram-links")
+    scratch.release(pairs.sparkSession)
+    roots = scratch.save(components(links), "ngram-first-roots")
+    near = pairs.join(first, ["x", "y"], "left_anti")
+    for end in ("x", "y"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+        near = scratch.save(near.join(named, end, "left"), "ngram-rest")
+    near = near.where("coalesce(rx, x) <> coalesce(ry, y)").select("x", "y", "nx", "ny")
+    return scratch.save(links.unionByName(pair_links(near, parts, percent)), "ngram-links")
+
+
 def family_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """x, y: links that keep connected whatever links connect inside each pair of tiles."""
-    whole = parts.groupBy("fp", "fragment").agg(F.first("part").alias("part"))
-    whole = whole.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("fragment", "part"))).alias("parts"))
-    whole = scratch.save(whole.select("fp", F.transform("parts", lambda p: p["part"]).alias("parts")), "ngram-whole")
     kind = "x long, y long"
 
     def compare(table: pa.Table) -> pa.Table:
@@ -239,7 +263,7 @@ def family_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFram
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
     rows = members.select("family", "fp", "n", "tile", F.explode(others).alias("other"))
     rows = rows.select("family", "fp", "n", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    return rows.join(whole, "fp").groupBy("family", "i", "j").applyInArrow(compare, kind)
+    return rows.join(parts, "fp").groupBy("family", "i", "j").applyInArrow(compare, kind)
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -253,9 +277,15 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     wanted = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp")))
     wanted = wanted.unionByName(members.select("fp")).distinct()
     parts = wanted_sets(docs, sets, wanted, width)
-    links = pair_links(pairs, parts, percent).unionByName(family_links(members, parts, percent))
-    roots = scratch.save(components(scratch.save(links, "ngram-links")), "ngram-roots")
+    del wanted
+    scratch.release(docs.sparkSession)
+    links = best_then_rest(pairs, parts, percent)
+    scratch.release(docs.sparkSession)
+    links = scratch.save(links.unionByName(family_links(members, parts, percent)), "ngram-links")
+    for done in (parts, rows):
+        scratch.drop(done)
     scratch.release(docs.sparkSession)
+    roots = scratch.save(components(links), "ngram-roots")
 
     base = sets.select("doc_id", "place", F.col("n").alias("n_shingles"), "fp")
     some = base.where("n_shingles > 0").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
