@@ -39,7 +39,8 @@ SELECTORS = (
 )
 BLOCK, ESCAPE = 4096, (1 << 15) - 1
 PAD = 256  # room after a block for the longest word
-ROW_IDS, STEP_BYTES = 1 << 18, 1 << 22
+_WIDTHS = np.ceil(np.log2(np.arange(ESCAPE + 1) + 1)).astype(np.uint8)  # bits of a code
+ROW_IDS, STEP_BYTES = 1 << 20, 1 << 23
 STORE = (
     "part int, first long, doc_ids array<bigint>, lengths array<bigint>, words binary,"
     " block_words array<int>, block_escapes array<int>, escapes binary"
@@ -55,37 +56,36 @@ def pack(ids: np.ndarray) -> tuple[bytes, list[int], list[int], bytes]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = np.where(escaped, ESCAPE, ids)
     codes[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    bits = np.ceil(np.log2(np.arange(ESCAPE + 1) + 1)).astype(np.uint8)[codes]
+    bits = _WIDTHS[codes.astype(np.int64)]
 
     widest = {1: bits}  # of the next 1, 2, 4, .. ids
-    while max(widest) < 128:
-        k = max(widest)
-        nxt = widest[k].copy()
-        nxt[:, :-k] = np.maximum(widest[k][:, :-k], widest[k][:, k:])
-        widest[2 * k] = nxt
     choice = np.full(bits.shape, len(SELECTORS) - 1, np.uint8)
     for s in range(len(SELECTORS) - 2, -1, -1):
         width, count = SELECTORS[s]
         k = 1 << (count.bit_length() - 1)
-        k, span = (k, count - k)
+        if k not in widest:
+            half = widest[k // 2]
+            widest[k] = half.copy()
+            np.maximum(half[:, : -(k // 2)], half[:, k // 2 :], out=widest[k][:, : -(k // 2)])
         fits = widest[k] <= width
-        if span:
-            fits[:, :-span] &= widest[k][:, span:] <= width
+        if not fits.any():
+            continue
+        if count > k:
+            fits[:, : k - count] &= widest[k][:, count - k :] <= width
         choice[fits] = s
 
     counts = np.array([c for _, c in SELECTORS])
     lengths = np.full(blocks, BLOCK)
     lengths[-1:] = n - BLOCK * (blocks - 1)
-    at, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
-    while len(live):
-        steps.append((live, at[live]))
-        at[live] += counts[choice[live, at[live]]]
-        live = live[at[live] < lengths[live]]
+    at, every, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
+    while (live := at < lengths).any():
+        steps.append(np.where(live, at, -1))
+        at = np.where(live, at + counts[choice[every, at]], at)
     if not steps:
         return b"", [], [], b""
-    row, place = (np.concatenate(x) for x in zip(*steps, strict=True))
-    order = np.lexsort((place, row))
-    row, place = row[order], place[order]
+    place = np.stack(steps, axis=1)
+    row, step = np.nonzero(place >= 0)
+    place = place[row, step]
     chosen = choice[row, place]
     words = chosen.astype(np.uint64) << np.uint64(60)
     start = row * (BLOCK + PAD) + place
