@@ -16,13 +16,19 @@ range's partial overlap is counted on its own and the counts are summed per pair
 
 N-grams with over ``SMALL`` classes would give all pairs of a large group of near copies.
 Their classes form families instead, under the class that occurs in most of them; a family
-is dealt into tiles, and a pair of tiles sums the fragments' partial overlaps as matrices
-and returns only enough links to keep what hangs together connected.
+is dealt into tiles, and a pair of tiles sums the fragments' partial overlaps as matrices.
+Every pair is compared; a tile returns each class's number of links and a tie to the least
+class it hangs together with, not the links themselves, whose number is a group's square.
+
+Links are counted between documents, so a class counts as often as it has copies, and its
+own copies link with each other.  A pair of classes counts once: in the least of the
+families both belong to, or as a candidate pair if they share none.
 
 Defined cases: a null, empty or wordless text has an empty set and links with nothing;
 fewer words than n make one n-gram of all of them; very long texts are used whole; a null
 doc_id may link, but the class id is the smallest id that is not null; repeated rows are
-one class; no rows give no rows; other columns are ignored.
+one class, and one document where doc_id and text repeat; no rows give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,8 +138,15 @@ def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(f"{100 + percent} * (c + {beyond}) >= {percent} * (nx + ny)").select("x", "y", "nx", "ny", "c")
 
 
-def families(rows: DataFrame) -> DataFrame:
-    """Written: family, fp, n, tile, tiles of the classes that share a frequent prefix n-gram."""
+def class_copies(sets: DataFrame) -> DataFrame:
+    """Written: fp, copies (the documents of the class)."""
+    documents = sets.where("n > 0").select("fp", "doc_id", "place").distinct()
+    return scratch.save(documents.groupBy("fp").agg(F.count("*").alias("copies")), "ngram-copies")
+
+
+def families(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """Written: family, fp, n, tile, tiles, copies, all (the class's families) of the classes
+    that share a frequent prefix n-gram."""
     many = rows.where(F.col("size") > SMALL).select("key", "fp", "n")
     degree = scratch.save(many.groupBy("fp").agg(F.count("*").alias("d")), "ngram-degrees")
     hub = scratch.save(many.join(degree, "fp").groupBy("key").agg(F.max(F.struct("d", "fp")).alias("hub")), "ngram-hubs")
@@ -143,7 +156,17 @@ def families(rows: DataFrame) -> DataFrame:
     per = F.least(F.greatest(F.ceil(F.col("size") / TILES), F.lit(TILE_LEAST)), F.lit(TILE_MOST))
     sizes = scratch.save(sizes.withColumn("tiles", F.ceil(F.col("size") / per).cast("int")).drop("size"), "ngram-tiles")
     dealt = members.join(sizes, "family").withColumn("tile", F.expr("CAST(pmod(xxhash64(fp), tiles) AS INT)"))
-    return scratch.save(dealt, "ngram-families")
+    every = scratch.save(members.groupBy("fp").agg(F.collect_set("family").alias("all")).join(copies, "fp"), "ngram-all")
+    return scratch.save(dealt.join(every, "fp"), "ngram-families")
+
+
+def outside_families(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Written: the ``pairs`` that no family's tiles compare."""
+    every = scratch.save(members.select("fp", "all").distinct(), "ngram-all")
+    for end in ("x", "y"):
+        pairs = pairs.join(every.select(F.col("fp").alias(end), F.col("all").alias(f"all_{end}")), end, "left")
+    apart = pairs.where(~F.coalesce(F.arrays_overlap("all_x", "all_y"), F.lit(False)))
+    return scratch.save(apart.select("x", "y", "nx", "ny", "c"), "ngram-apart")
 
 
 def wanted_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -222,8 +245,9 @@ def best_then_rest(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFram
 
 
 def family_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """x, y: links that keep connected whatever links connect inside each pair of tiles."""
-    kind = "x long, y long"
+    """x, y, n for each class with links inside a pair of tiles: y is the least class it hangs
+    together with there, n its links with documents that no lesser family compares."""
+    kind = "x long, y long, n long"
 
     def compare(table: pa.Table) -> pa.Table:
         fps, at = np.unique(np.asarray(table.column("fp")), return_index=True)
@@ -246,9 +270,20 @@ def family_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFram
                 m[owner[mine], slot[inverse][mine] - lo] = 1
                 total += m[rows] @ m[cols].T
         union = n[rows][:, None] + n[cols][None, :] - total
-        a, b = np.nonzero(100 * total >= percent * union)
+        near = (100 * total >= percent * union) & (rows[:, None] != cols[None, :])
+        a, b = np.nonzero(near)
         a, b = rows[a], cols[b]
-        a, b = a[a != b], b[a != b]
+
+        family, every = table.column("family")[0].as_py(), table.column("all").take(pa.array(at)).to_pylist()
+        lesser = {g: k for k, g in enumerate(sorted({g for own in every for g in own if g < family}))}
+        belongs = np.zeros((len(fps), len(lesser)), np.float32)
+        for k, own in enumerate(every):
+            belongs[k, [lesser[g] for g in own if g < family]] = 1
+        counted = near & (belongs[rows] @ belongs[cols].T == 0)
+        copies, links = np.asarray(table.column("copies"))[at], np.zeros(len(fps), np.int64)
+        links[rows] += counted @ copies[cols]
+        if i != j:
+            links[cols] += copies[rows] @ counted
         best = np.arange(len(fps))
         while True:
             new = best.copy()
@@ -257,52 +292,72 @@ def family_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFram
             if (new == best).all():
                 break
             best = new
-        tied = np.flatnonzero(best != np.arange(len(fps)))
-        return pa.table({"x": fps[tied], "y": fps[best[tied]]}, schema=_arrow(kind))
+        tied = np.union1d(a, b)
+        return pa.table({"x": fps[tied], "y": fps[best[tied]], "n": links[tied]}, schema=_arrow(kind))
 
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    rows = members.select("family", "fp", "n", "tile", F.explode(others).alias("other"))
-    rows = rows.select("family", "fp", "n", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    own = ("family", "fp", "n", "tile", "copies", "all")
+    rows = members.select(*own, F.explode(others).alias("other"))
+    rows = rows.select(*own, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     return rows.join(parts, "fp").groupBy("family", "i", "j").applyInArrow(compare, kind)
 
 
-def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def link_counts(links: DataFrame, tiles: DataFrame, copies: DataFrame) -> DataFrame:
+    """Written: fp, n (links with documents of other classes)."""
+    ends = links.select(F.col("x").alias("u"), F.col("y").alias("fp")).unionByName(links.select(F.col("y").alias("u"), F.col("x").alias("fp")))
+    ends = ends.join(copies, "fp").select(F.col("u").alias("fp"), F.col("copies").alias("n"))
+    ends = ends.unionByName(tiles.select(F.col("x").alias("fp"), "n"))
+    return scratch.save(ends.groupBy("fp").agg(F.sum("n").alias("n")), "ngram-link-counts")
+
+
+def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, count: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, place (a hash of the text), root (of the class; null
-    for an empty set) for each row of ``docs``."""
+    for an empty set) for each row of ``docs``, and n_links, the documents it links with.
+    Without ``count`` there is no n_links, and pairs already connected are not verified."""
     sets = document_sets(docs, width, percent)
+    copies = class_copies(sets)
     rows = prefixes(docs, width, percent, frequent(sets))
     scratch.release(docs.sparkSession)
     pairs = scratch.save(candidate_pairs(rows, percent), "ngram-pairs")
-    members = families(rows)
+    members = families(rows, copies)
+    pairs = outside_families(pairs, members)
     wanted = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp")))
     wanted = wanted.unionByName(members.select("fp")).distinct()
     parts = wanted_sets(docs, sets, wanted, width)
     del wanted
     scratch.release(docs.sparkSession)
-    links = best_then_rest(pairs, parts, percent)
+    if count:
+        links = scratch.save(pair_links(pairs.drop("c"), parts, percent), "ngram-links")
+    else:
+        links = best_then_rest(pairs, parts, percent)
     scratch.release(docs.sparkSession)
-    links = scratch.save(links.unionByName(family_links(members, parts, percent)), "ngram-links")
+    tiles = scratch.save(family_links(members, parts, percent), "ngram-tile-links")
     for done in (parts, rows):
         scratch.drop(done)
     scratch.release(docs.sparkSession)
-    roots = scratch.save(components(links), "ngram-roots")
+    roots = components(scratch.save(links.unionByName(tiles.select("x", "y")), "ngram-links"))
+    classes = copies.join(scratch.save(roots, "ngram-roots").withColumnRenamed("node", "fp"), "fp", "left")
+    if count:
+        classes = classes.join(link_counts(links, tiles, copies), "fp", "left")
+        classes = classes.withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
+    more = ["n_links"] if count else []
+    classes = scratch.save(classes.select("fp", F.coalesce("root", "fp").alias("root"), *more), "ngram-classes")
 
     base = sets.select("doc_id", "place", F.col("n").alias("n_shingles"), "fp")
-    some = base.where("n_shingles > 0").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    some = some.select("doc_id", "place", "n_shingles", F.coalesce("root", "fp").alias("root"))
+    some = base.where("n_shingles > 0").join(classes, "fp").drop("fp")
     some = scratch.save(some, "ngram-rows")
     least = scratch.save(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ngram-least")
-    columns = ("doc_id", "n_shingles", "component_id", "place", "root")
+    columns = ("doc_id", "n_shingles", "component_id", "place", "root", *more)
     joined = some.join(least, "root").select(*columns)
     none = base.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("long")})
-    none = none.select(*columns)
+    none = none.withColumns({c: F.lit(0).cast("long") for c in more}).select(*columns)
     return joined.unionByName(none)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each class, the one with its smallest doc_id (then text hash);
     rows without words all stay, rows that repeat doc_id and text stay once."""
-    classes = similarity_classes(docs, width, percent)
+    classes = similarity_classes(docs, width, percent, count=False)
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     keep = classes.where("n_shingles > 0").groupBy("root").agg(F.min(at).alias("at")).select("at")
     keep = scratch.save(keep.unionByName(classes.where("n_shingles = 0").select(at.alias("at")).distinct()), "ngram-keep")
