@@ -5,7 +5,9 @@ joined by single spaces.  Each notice may be found with up to one edit for every
 ``CHARS_PER_EDIT`` characters: cut into one more seed than edits, an occurrence keeps at
 least one seed whole, so an automaton over all seeds locates every candidate; the regex
 library's bounded-error matching then verifies the window around it and reports span and
-edits.  Base phrases are found exactly and always count.
+edits.  The words that tell a notice from its rivals must stand there without edits.  Of
+matches that overlap the one with the fewest edits counts, and the stretches before and
+after it are searched again.  Base phrases are found exactly and always count.
 
 Defined cases: a null text is empty; very long texts are searched whole; places of a
 phrase may overlap; among equal matches of a notice the first counts; repeated rows are
@@ -24,19 +26,26 @@ from .token_store import text_steps
 
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices of the method and their labels.
-NOTICES = (
-    ("licensed under the apache license version 2 0", "apache-2"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("under the gnu general public license", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("mozilla public license version 2 0", "mpl-2"),
-    ("redistribution and use in source and binary forms", "bsd"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("creative commons attribution noncommercial", "cc-by-nc"),
-    ("creative commons attribution share alike", "cc-by-sa"),
+#: Notices of the method, their labels, and the words that tell them from their rivals.
+RULES = (
+    ("licensed under the apache license version 2 0", "apache-2", "2"),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ""),
+    ("under the gnu general public license", "gpl", ""),
+    ("gnu lesser general public license", "lgpl", ""),
+    ("mozilla public license version 2 0", "mpl-2", "2"),
+    ("mozilla public license version 1 1", "mpl-1-1", "1 1"),
+    ("redistribution and use in source and binary forms", "bsd", ""),
+    ("licensed under cc by 4 0", "cc-by", "by"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "nc"),
+    ("licensed under cc by nd 4 0", "cc-by-nd", "nd"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", "sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd", "nc nd"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa", "nc sa"),
+    ("creative commons attribution noncommercial", "cc-by-nc", ""),
+    ("creative commons attribution share alike", "cc-by-sa", ""),
 )
+NOTICES = tuple((phrase, label) for phrase, label, _ in RULES)
 CHARS_PER_EDIT = 12
 _WORD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -53,6 +62,14 @@ def seeds(phrase: str) -> list[tuple[str, int]]:
     return [(phrase[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _pattern(phrase: str, words: str) -> str:
+    """Regex of a notice; ``words`` must follow its start as far as in the notice, give or take the edits."""
+    edits = len(phrase) // CHARS_PER_EDIT
+    at = f" {phrase} ".find(f" {words} ") - 1 if words else 0
+    exact = rf"(?=.{{{max(at - edits, 0)},{at + edits}}} {words} )" if words else ""
+    return rf"(?b)(?<= ){exact}(?:{phrase}){{e<={edits}}}(?= )"
+
+
 @lru_cache(1)
 def _machine():
     """The automaton over all seeds and, for each notice, its bounded-error pattern."""
@@ -67,7 +84,7 @@ def _machine():
     for seed, who in owners.items():
         automaton.add_word(seed, (len(seed), who))
     automaton.make_automaton()
-    patterns = [regex.compile(rf"(?b)(?<= )(?:{p}){{e<={len(p) // CHARS_PER_EDIT}}}(?= )") for p, _ in NOTICES]
+    patterns = [regex.compile(_pattern(phrase, words), regex.DOTALL) for phrase, _, words in RULES]
     return automaton, patterns
 
 
@@ -95,9 +112,13 @@ def near_notices(line: str) -> list[tuple[int, int, int, int]]:
                 mine.append([lo, hi])
     found = []
     for k, spans in windows.items():
-        for lo, hi in spans:
-            for m in patterns[k].finditer(line, lo, hi, partial=False):
+        least = len(NOTICES[k][0]) - len(NOTICES[k][0]) // CHARS_PER_EDIT
+        while spans:
+            lo, hi = spans.pop()
+            m = patterns[k].search(line, lo, hi) if hi - lo >= least else None
+            if m:
                 found.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
+                spans += (lo, m.start()), (m.end(), hi)
     return found
 
 
