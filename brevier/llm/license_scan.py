@@ -88,9 +88,10 @@ def _machine():
     return automaton, patterns
 
 
-def words_line(text: str) -> tuple[str, int]:
+def words_line(text: bytes | str) -> tuple[str, int]:
     """The text's words between single spaces, one character per byte, and their number."""
-    words = text.encode("utf-8", "surrogatepass").translate(_WORD).split(b" ")
+    blob = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+    words = blob.translate(_WORD).split(b" ")
     words = [w for w in words if w]
     return " " + b" ".join(words).decode("latin-1") + " " if words else "", len(words)
 
@@ -122,23 +123,27 @@ def near_notices(line: str) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def scan(text: str) -> tuple:
+def scan(text: bytes | str) -> tuple:
     """The columns of ``FOUND`` after doc_id for one text."""
     line, n = words_line(text)
-    places, base = [], set()
+    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+    before = lambda ats: np.searchsorted(spaces, ats).tolist()  # spaces before each place
+    found, base = [], set()
     for phrase, label in BASE:
         at = line.find(f" {phrase} ")
         while at >= 0:
-            places.append(line.count(" ", 0, at))
+            found.append(at)
             base.add(label)
             at = line.find(f" {phrase} ", at + 1)
+    places = before(found)
     near = near_notices(line)
     labels = base | {NOTICES[k][1] for k, *_ in near}
     score = max([1.0] * bool(places) + [1 - e / len(NOTICES[k][0]) for k, _, _, e in near], default=0.0)
-    spans = [(line.count(" ", 0, a) - 1, line.count(" ", 0, b) - 1, NOTICES[k][1], e) for k, a, b, e in near]
+    firsts, lasts = before([x[1] for x in near]), before([x[2] for x in near])
+    spans = sorted((a - 1, b - 1, NOTICES[k][1], e) for (k, _, _, e), a, b in zip(near, firsts, lasts, strict=True))
     return (
         n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
-        ",".join(sorted(labels)), score, ",".join(f"{label}:{a}:{b}:{e}" for a, b, label, e in sorted(spans)),
+        ",".join(sorted(labels)), score, ",".join(f"{label}:{a}:{b}:{e}" for a, b, label, e in spans),
     )
 
 

@@ -40,7 +40,7 @@ SELECTORS = (
 BLOCK, ESCAPE = 4096, (1 << 15) - 1
 PAD = 256  # room after a block for the longest word
 _WIDTHS = np.ceil(np.log2(np.arange(ESCAPE + 1) + 1)).astype(np.uint8)  # bits of a code
-ROW_IDS, STEP_BYTES = 1 << 20, 1 << 23
+ROW_IDS, STEP_BYTES = 1 << 20, 1 << 20
 STORE = (
     "part int, first long, doc_ids array<bigint>, lengths array<bigint>, words binary,"
     " block_words array<int>, block_escapes array<int>, escapes binary"
@@ -126,16 +126,16 @@ def unpack(words: bytes, block_words: list[int], escapes: bytes, n: int) -> np.n
 
 
 def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES):
-    """(doc_ids, texts) of a few MB of text at a time, whatever the batches hold."""
+    """(doc_ids, texts as bytes) of about ``limit`` bytes of text at a time, whatever the batches hold."""
     for batch in batches:
-        column = batch.column("text")
+        column = batch.column("text").cast(pa.binary())
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
         step = np.cumsum(sizes + 64) // limit
         for k in np.unique(step):
             lo, hi = np.searchsorted(step, [k, k + 1])
             yield (
                 batch.column("doc_id").slice(lo, hi - lo).to_pylist(),
-                [t or "" for t in column.slice(lo, hi - lo).to_pylist()],
+                [t or b"" for t in column.slice(lo, hi - lo).to_pylist()],
             )
 
 
