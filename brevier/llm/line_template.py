@@ -1,20 +1,24 @@
 """Line dedup with a fixed-depth template tree.
 
 A line descends by its token count and its first ``DEPTH`` tokens, where a token with a
-digit, an ``@`` or ``://`` counts as a variable field.  In each leaf that recurs across
-documents, the commonest token of every place is the leaf's template; a place without a
-commonest token in at least half of the lines is variable.  A line that has the template's
-word, not just a field, in at least ``SIMILARITY`` of its places carries it; any other line
-is a template of its own, word for word.  Templates found in ``MIN_DOCS`` or more different
-texts are dropped from all documents but the first (smallest doc_id) that has them.
-
-Exact copies of a text count once, so copies alone make nothing recur.  Lines under
-``MIN_WORDS`` tokens are left alone.
-
-Defined cases: a null text has no lines and stays null; a null doc_id is its own id and
-comes last; rows that repeat doc_id and text are treated alike; a line with equal places
-tied for commonest takes the smallest token; no rows give no rows; other columns pass
-through.
+digit, an ``@`` or ``://`` is a variable field.  A line's leaf is the first of these that
+``MIN_DOCS`` different texts reach: all leading tokens, or all but one, the one that varies
+being a wildcard child (last, middle, first).  Inside a leaf a token is part of a template
+where it stands in the same place of ``MIN_DOCS`` lines; every other place is variable.  So
+a leaf has as many templates as its lines have patterns of fixed tokens.  A line carries its
+template if ``SIMILARITY`` of all its places, and of the places after the leading ones, are
+fixed words.  Besides, a line of any length is a template of its own, word for word.
+
+Templates found in ``MIN_DOCS`` or more different texts, and whole lines of ``LONG`` words
+or more found in two, are dropped from all documents but the first (smallest doc_id) that
+has them.  Exact copies of a text count once, so copies alone make nothing recur.
+
+Texts are split once; lines travel without the text they come from.
+
+Defined cases: a null text has no lines and stays null; lines without a word stay; a null
+doc_id is its own id and comes last; rows that repeat doc_id and text are treated alike; a
+line that carries several recurring templates stays only where it is the first of each; no
+rows give no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,66 +28,93 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-DEPTH, MIN_DOCS, MIN_WORDS, SIMILARITY = 3, 10, 4, 0.6
-#: Leaves sent to every task in one piece; above this count they are joined by a shuffle.
+DEPTH, MIN_DOCS, MIN_WORDS, SIMILARITY, LONG = 3, 10, 4, 0.6, 50
+#: Leaves sent to every task in one piece (8 bytes each); above this count lines are joined by a shuffle.
 MOST_BROADCAST = 500_000
 FIELD = "[0-9@]|://"
-
-
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+ENDS = " \t\x0b\x0c\r"
 
 
 def _masked(token: Column) -> Column:
     return F.when(token.rlike(FIELD), F.lit("<*>")).otherwise(token)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), i, tokens, leaf for every line long enough."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    rows = rows.select("doc_id", "h", "i", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_WORDS)
-    lead = [_masked(F.get("tokens", F.lit(k))) for k in range(DEPTH)]
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), *lead))
-
-
-def _texts_with(rows: DataFrame, key: str) -> DataFrame:
-    """Number of different texts for each value of ``key``, where it reaches MIN_DOCS."""
-    return rows.groupBy(key, "h").agg(F.lit(1).alias("one")).groupBy(key).count().where(F.col("count") >= MIN_DOCS).select(key)
+def _who() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+
+
+def split_lines(docs: DataFrame) -> DataFrame:
+    """Written: doc_id, h (of the text), i, line, n (words), k1 and k2 (of the line), leaves
+    (that it may belong to, null if short) for every line with a word."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
+    rows = split.select("doc_id", "h", F.posexplode("lines").alias("i", "line"))
+    rows = rows.select("doc_id", "h", "i", F.btrim("line", F.lit(ENDS)).alias("line")).where("line <> ''")
+    rows = rows.withColumn("n", F.regexp_count("line", F.lit(f"{WORD}++")))
+    lead = rf"^({WORD}++){BLANK}++({WORD}++){BLANK}++({WORD}++)"
+    a, b, c = (_masked(F.regexp_extract("line", lead, k)) for k in (1, 2, 3))
+    any_ = F.lit("<any>")
+    leaves = F.array(*[F.xxhash64("n", *path) for path in ((a, b, c), (a, b, any_), (a, any_, c), (any_, b, c))])
+    rows = rows.withColumns({
+        "k1": F.xxhash64("line"), "k2": F.hash("line").cast("long"), "leaves": F.when(F.col("n") >= MIN_WORDS, leaves),
+    })
+    return scratch.save(rows, "lines")
+
+
+def _texts(rows: DataFrame, *key: str) -> DataFrame:
+    """For each key its different texts, and the first text that has it."""
+    each = rows.groupBy(*key, "h").agg(F.min(_who()).alias("first"))
+    return each.groupBy(*key).agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+
+
+def lines_in_leaves(lines: DataFrame) -> DataFrame:
+    """Written: doc_id, h, i, n, leaf, line of the lines whose leaf recurs."""
+    ways = lines.where("leaves IS NOT NULL").select("doc_id", "h", F.explode("leaves").alias("leaf"))
+    hot = scratch.save(_texts(ways, "leaf").where(F.col("texts") >= MIN_DOCS).select("leaf"), "line-leaves")
+    kept = ("doc_id", "h", "i", "n", "leaf", "line")
+    rows = lines.where("leaves IS NOT NULL")
+    if hot.count() <= MOST_BROADCAST:
+        for k in range(DEPTH + 1):
+            one = F.broadcast(hot.select(F.col("leaf").alias(f"way{k}")))
+            rows = rows.withColumn(f"at{k}", F.get("leaves", F.lit(k))).join(one, F.col(f"at{k}") == F.col(f"way{k}"), "left")
+        rows = rows.withColumn("leaf", F.coalesce(*[F.col(f"way{k}") for k in range(DEPTH + 1)]))
+        return scratch.save(rows.where("leaf IS NOT NULL").select(*kept), "line-candidates")
+    at = F.struct("doc_id", "h", "i").alias("at")
+    ways = rows.select(at, F.posexplode("leaves").alias("way", "leaf")).join(hot, "leaf")
+    ways = ways.groupBy("at").agg(F.min(F.struct("way", "leaf")).alias("best")).select("at", "best.leaf")
+    rows = rows.select("*", at).join(ways, "at")
+    return scratch.save(rows.select(*kept).dropDuplicates(["doc_id", "h", "i"]), "line-candidates")
+
+
+def templates(lines: DataFrame) -> DataFrame:
+    """k1, k2 (of the template), doc_id, h, i of the lines that carry one."""
+    tokens = F.transform(F.split("line", f"{BLANK}+"), _masked)
+    places = lines.select("doc_id", "h", "i", "n", "leaf", F.posexplode(tokens).alias("place", "token")).where("token <> '<*>'")
+    places = places.select("doc_id", "h", "i", "n", "leaf", "place", F.xxhash64("leaf", "place", "token").alias("key"))
+    places = scratch.save(places, "line-places")
+    common = places.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_DOCS).select("key")
+    fixed = places.join(scratch.save(common, "line-fixed"), "key").groupBy("doc_id", "h", "i", "n", "leaf")
+    found = fixed.agg(
+        F.expr("bit_xor(key)").alias("k2"), F.count("*").alias("words"), F.sum((F.col("place") >= DEPTH).cast("long")).alias("after"),
+    )
+    alike = (F.col("words") >= SIMILARITY * F.col("n")) & (F.col("after") >= SIMILARITY * (F.col("n") - DEPTH))
+    return found.where(alike).select(F.col("leaf").alias("k1"), "k2", "doc_id", "h", "i")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h, i of the lines to drop."""
-    leaves = scratch.save(_texts_with(_lines(docs).select("leaf", "h"), "leaf"), "line-leaves")
-    if leaves.count() <= MOST_BROADCAST:
-        leaves = F.broadcast(leaves)
-    lines = scratch.save(_lines(docs).join(leaves, "leaf").select("doc_id", "h", "i", "leaf", "tokens"), "line-candidates")
-
-    masked = F.transform("tokens", _masked)
-    places = lines.select("leaf", F.posexplode(masked).alias("place", "token"))
-    counts = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-    top = counts.groupBy("leaf", "place").agg(
-        F.min(F.struct((-F.col("n")).alias("minus"), "token")).alias("best"), F.sum("n").alias("all")
-    )
-    best = top.select("leaf", "place", "best.token", F.expr("-2 * best.minus >= all").alias("fixed"))
-    template = best.groupBy("leaf").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).alias("token")))),
-            lambda p: p["token"],
-        ).alias("template")
-    )
-    template = scratch.save(template, "line-templates")
-
-    word = lambda a, b: F.when((a == b) & (a != "<*>"), 1).otherwise(0)
-    agree = F.aggregate(F.zip_with(masked, "template", word), F.lit(0), lambda s, x: s + x)
-    own = F.xxhash64("leaf", F.concat_ws(" ", "tokens"))
-    keyed = lines.join(template, "leaf").select(
-        "doc_id", "h", "i", F.when(agree >= SIMILARITY * F.size("tokens"), F.col("leaf")).otherwise(own).alias("key")
-    )
-    keyed = scratch.save(keyed, "line-keys")
-    first = keyed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("first"))
-    first = scratch.save(_texts_with(keyed, "key").join(first, "key"), "line-recurring")
-    here = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
-    return keyed.join(first, "key").where(~here.eqNullSafe(F.col("first"))).select("doc_id", "h", "i")
+    """doc_id, h, i of the lines to drop; a line may come twice."""
+    lines = split_lines(docs)
+    need = F.when(F.col("n") >= LONG, 2).otherwise(MIN_DOCS).alias("need")
+    candidates = lines_in_leaves(lines)
+    keys = scratch.save(templates(candidates).select("k1", "k2", "doc_id", "h", "i", F.lit(MIN_DOCS).alias("need")), "line-templates")
+    keys = lines.select("k1", "k2", "doc_id", "h", "i", need).unionByName(keys)
+    met = _texts(keys, "k1", "k2", "need").where("texts >= need").select("k1", "k2", "first")
+    met = scratch.save(met, "line-recurring")
+    gone = keys.join(met, ["k1", "k2"]).where(~_who().eqNullSafe(F.col("first"))).select("doc_id", "h", "i")
+    gone = scratch.save(gone, "line-gone")
+    for done in (lines, candidates, met):
+        scratch.drop(done)
+    return gone
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
@@ -92,12 +123,12 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     drops = recurring_lines(docs).groupBy(key()).agg(F.collect_set("i").alias("gone"))
     drops = scratch.save(drops, "line-drops")
     rows = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("line_key"))
-    out = rows.join(drops, "line_key", "left")
-    lines = F.split("doc.text", "\n", -1)
-    left = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains("gone", i)))
+    out = rows.join(drops, "line_key", "left").withColumn("lines", F.split("doc.text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.concat_ws("\n", F.transform(stay, lambda i: F.get("lines", i)))
     return out.select(
         "doc",
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(left).alias("clean_text"),
     )

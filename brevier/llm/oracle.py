@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from . import line_template, mixing, pii, quality, sharding
+from . import mixing, pii, quality, sharding
 
 BLANK = r"[\x20\x09-\x0D]+"
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -146,20 +146,26 @@ def _quality() -> str:
 
 
 def _lines() -> str:
-    m = line_template
-    mask = f"CASE WHEN regexp_matches(w, '{m.FIELD}') THEN '<*>' ELSE w END"
+    """Written out with the rule's own numbers: 3 leading tokens, 10 texts, 4 words, 60 %, 50 words for two texts."""
+    mask = "CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END"
+    path = lambda *p: "n || ' ' || " + " || ' ' || ".join(p)
+    ways = ", ".join(path(*p) for p in (("ws[1]", "ws[2]", "ws[3]"), ("ws[1]", "ws[2]", "'<any>'"), ("ws[1]", "'<any>'", "ws[3]"), ("'<any>'", "ws[2]", "ws[3]")))
     return f"""WITH r AS (SELECT doc_id, text, md5(text) AS h, string_split(text, chr(10)) AS ls FROM documents),
-      l0 AS (SELECT doc_id, h, i - 1 AS i, {words("ls[i]")} AS rw, list_transform({words("ls[i]")}, lambda w: {mask}) AS ws
+      l0 AS (SELECT doc_id, h, i - 1 AS i, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
         FROM (SELECT doc_id, h, ls, unnest(range(1, len(ls) + 1)) AS i FROM r)),
-      l1 AS MATERIALIZED (SELECT *, len(ws)::VARCHAR || ' ' || array_to_string(list_slice(ws, 1, {m.DEPTH}), ' ') AS leaf FROM l0 WHERE len(ws) >= {m.MIN_WORDS}),
-      hot AS (SELECT leaf FROM l1 GROUP BY 1 HAVING count(DISTINCT h) >= {m.MIN_DOCS}),
-      l AS MATERIALIZED (SELECT * FROM l1 SEMI JOIN hot USING (leaf)),
-      c AS (SELECT leaf, place, ws[place] AS token, count(*) AS n FROM (SELECT leaf, ws, unnest(range(1, len(ws) + 1)) AS place FROM l) GROUP BY 1, 2, 3),
-      f AS (SELECT leaf, place, arg_min(token, (-n, token)) AS token, 2 * max(n) >= sum(n) AS fixed FROM c GROUP BY 1, 2),
-      t AS (SELECT leaf, list(CASE WHEN fixed THEN token END ORDER BY place) AS tpl FROM f GROUP BY 1),
-      k AS MATERIALIZED (SELECT doc_id, h, i, CASE WHEN len(list_filter(list_zip(ws, tpl), lambda z: z[1] = z[2] AND z[1] <> '<*>')) >= {m.SIMILARITY}::DOUBLE * len(ws)
-        THEN l.leaf ELSE 'own ' || l.leaf || array_to_string(rw, ' ') END AS key FROM l JOIN t ON t.leaf = l.leaf),
-      z AS (SELECT key, arg_min(h, (doc_id, h)) AS fh, min(doc_id) AS fd FROM k GROUP BY 1 HAVING count(DISTINCT h) >= {m.MIN_DOCS}),
+      l1 AS (SELECT doc_id, h, i, line, list_transform({words("line")}, lambda w: {mask}) AS ws FROM l0 WHERE line <> ''),
+      l AS MATERIALIZED (SELECT *, len(ws) AS n FROM l1),
+      w AS (SELECT doc_id, h, i, unnest([{ways}]) AS leaf, unnest(range(4)) AS way FROM l WHERE n >= 4),
+      hot AS (SELECT leaf FROM w GROUP BY 1 HAVING count(DISTINCT h) >= 10),
+      p AS (SELECT doc_id, h, i, arg_min(leaf, way) AS leaf FROM w SEMI JOIN hot USING (leaf) GROUP BY 1, 2, 3),
+      t AS MATERIALIZED (SELECT doc_id, h, i, n, leaf, place, ws[place] AS token FROM (SELECT l.doc_id, l.h, l.i, n, ws, p.leaf, unnest(range(1, n + 1)) AS place
+        FROM l JOIN p ON p.doc_id = l.doc_id AND p.h = l.h AND p.i = l.i) WHERE ws[place] <> '<*>'),
+      f AS (SELECT leaf, place, token FROM t GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+      c AS (SELECT doc_id, h, i, leaf || ' : ' || string_agg(place || ' ' || token, ' ' ORDER BY place) AS key FROM t SEMI JOIN f USING (leaf, place, token)
+        GROUP BY doc_id, h, i, leaf, n HAVING count(*) >= 0.6::DOUBLE * n AND count(*) FILTER (place > 3) >= 0.6::DOUBLE * (n - 3)),
+      k AS MATERIALIZED (SELECT doc_id, h, i, 'template ' || key AS key, 10 AS need FROM c
+        UNION ALL SELECT doc_id, h, i, 'line ' || line, CASE WHEN n >= 50 THEN 2 ELSE 10 END FROM l),
+      z AS (SELECT key, arg_min(h, (doc_id, h)) AS fh, min(doc_id) AS fd FROM k GROUP BY key, need HAVING count(DISTINCT h) >= need),
       g AS (SELECT doc_id, h, list(DISTINCT i) AS gone FROM k JOIN z USING (key) WHERE NOT (k.doc_id = fd AND h = fh) GROUP BY 1, 2),
       o AS (SELECT r.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped, CASE WHEN gone IS NULL THEN text ELSE array_to_string(
         list_filter(ls, lambda x, j: NOT list_contains(gone, j - 1)), chr(10)) END AS c FROM r LEFT JOIN g ON g.doc_id = r.doc_id AND g.h = r.h)

@@ -7,7 +7,6 @@ recomputation of the stages before it.  The folder comes from ``spark.checkpoint
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -31,26 +30,30 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
+#: Spark removes a write's shuffle files when the write has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{folder(spark)}/brevier/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table made by :func:`save`; anything else is left alone."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that only written-out tables needed."""
-    gc.collect()
-    spark._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`save`; anything else is left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
