@@ -65,8 +65,9 @@ def plan_mix(
     rows = docs.select(
         "doc_id",
         stratum().alias("stratum"),
+        F.xxhash64("text").alias("place"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "text"), F.lit("null")))).alias("h"),
     )
     rows = scratch.save(ranking.hash_buckets(rows, "h"), "mix-rows")
     sizes = rows.groupBy("stratum").agg(F.sum("size").alias("source_size"))
@@ -81,7 +82,7 @@ def plan_mix(
         "doc_id", "size", "source_size", "target",
         (F.col("epochs") * size + F.col("part")).alias("taken"),
         F.when(size > 0, F.col("epochs") + (F.col("part") > 0).cast("long")).otherwise(F.lit(0).cast("long")).alias("copies"),
-        "epochs", "part", "slope", "size_before",
+        "epochs", "part", "slope", "size_before", "stratum", "place",
     )
 
 
@@ -96,22 +97,23 @@ def position(copy):
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The training stream: every taken copy with its text, range-sorted by ``mix_position``.
 
-    ``docs`` is read twice.  Rows are matched to the plan by doc_id and size; where rows
-    repeat both, each takes as many copies as the one that takes most.
+    ``docs`` is read twice.  Rows are matched to the plan by doc_id, source and text; rows that
+    repeat all three are numbered on both sides, so each takes the copies of one plan row.
     """
-    plan = plan_mix(docs, **options).where("copies > 0")
-    plan = plan.groupBy(F.struct("doc_id", "size").alias("mix_key")).agg(
-        F.max("copies").alias("copies"),
-        *[F.max(c).alias(c) for c in ("size", "source_size", "target", "epochs", "part", "slope")],
-        F.min("size_before").alias("size_before"),
+    key = ["doc_id", "stratum", "place"]
+    same = Window.partitionBy("mix_key")
+    plan = plan_mix(docs, **options).withColumn("mix_key", F.struct(*key))
+    plan = plan.withColumn("mix_nth", F.row_number().over(same.orderBy("size_before", F.desc("copies")))).where("copies > 0")
+    plan = plan.select("mix_key", "mix_nth", "copies", "size", "source_size", "target", "epochs", "part", "slope", "size_before")
+    rows = docs.select(
+        F.struct("doc_id", stratum().alias("stratum"), F.xxhash64("text").alias("place")).alias("mix_key"), F.struct("*").alias("mix_doc")
     )
-    words = F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")
-    rows = docs.select(F.struct("doc_id", words).alias("mix_key"), F.struct("*").alias("mix_doc"))
+    rows = rows.withColumn("mix_nth", F.row_number().over(same.orderBy(F.lit(0))))
     head = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("part").cast("string"), F.lit("}+"))
     cut = (F.col("mix_copy") == F.col("epochs")) & (F.col("part") < F.col("size"))
     text = F.when(cut, F.regexp_substr("mix_doc.text", head)).otherwise(F.col("mix_doc.text"))
     copies = (
-        rows.join(plan, "mix_key")
+        rows.join(plan, ["mix_key", "mix_nth"])
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
         .withColumn("mix_position", position(F.col("mix_copy")))
         .select(*[text.alias(c) if c == "text" else F.col(f"mix_doc.`{c}`") for c in docs.columns], "mix_copy", "mix_position")

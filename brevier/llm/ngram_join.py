@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, shingles
@@ -43,7 +43,9 @@ from .components import components
 from .token_store import _arrow, text_steps
 
 HOT, HOT_LEAST, SMALL, FRAGMENTS = 1 << 20, 32, 32, 8
-TILE_LEAST, TILE_MOST, TILES = 128, 4096, 32
+TILE_LEAST, TILE_MOST, TILES = 128, 2048, 32
+#: N-grams of a tile on average; with TILE_MOST it bounds what a task holds.
+TILE_GRAMS = 1 << 21
 #: Bits of the map of rows whose sets are fetched: 2 MB, whatever the input.
 CELLS = 1 << 24
 
@@ -117,13 +119,12 @@ def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=_arrow(kind))
 
+    # copies merge before they are dealt out, and no task gets an n-gram's rows as a whole
     rows = docs.select("doc_id", "text").mapInArrow(run, kind)
-    same = Window.partitionBy("key")
-    shared = rows.withColumns({"a": F.min("fp").over(same), "b": F.max("fp").over(same)}).where("a != b")
-    shared = scratch.save(shared.select("key", "fp", "n", "last").distinct(), "ngram-shared")
-    sizes = scratch.save(shared.groupBy("key").agg(F.count("*").alias("size")), "ngram-sizes")
-    out = scratch.save(shared.join(sizes, "key"), "ngram-prefixes")
-    scratch.drop(shared)
+    rows = scratch.save(rows.groupBy("key", "fp").agg(F.first("n").alias("n"), F.first("last").alias("last")), "ngram-rows")
+    sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "ngram-sizes")
+    out = scratch.save(rows.join(sizes, "key"), "ngram-prefixes")
+    scratch.drop(rows, sizes)
     return out
 
 
@@ -152,9 +153,10 @@ def families(rows: DataFrame, copies: DataFrame) -> DataFrame:
     hub = scratch.save(many.join(degree, "fp").groupBy("key").agg(F.max(F.struct("d", "fp")).alias("hub")), "ngram-hubs")
     members = many.join(hub, "key").select(F.col("hub.fp").alias("family"), "fp", "n").distinct()
     members = scratch.save(members, "ngram-members")
-    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
     per = F.least(F.greatest(F.ceil(F.col("size") / TILES), F.lit(TILE_LEAST)), F.lit(TILE_MOST))
-    sizes = scratch.save(sizes.withColumn("tiles", F.ceil(F.col("size") / per).cast("int")).drop("size"), "ngram-tiles")
+    tiles = F.greatest(F.ceil(F.col("size") / per), F.ceil(F.col("grams") / TILE_GRAMS)).cast("int")
+    sizes = scratch.save(sizes.select("family", tiles.alias("tiles")), "ngram-tiles")
     dealt = members.join(sizes, "family").withColumn("tile", F.expr("CAST(pmod(xxhash64(fp), tiles) AS INT)"))
     every = scratch.save(members.groupBy("fp").agg(F.collect_set("family").alias("all")).join(copies, "fp"), "ngram-all")
     return scratch.save(dealt.join(every, "fp"), "ngram-families")
@@ -234,7 +236,6 @@ def best_then_rest(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFram
     best = pairs.groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("y", F.col("best.x").alias("x"))
     first = scratch.save(pairs.join(best, ["x", "y"], "left_semi"), "ngram-first")
     links = scratch.save(pair_links(first, parts, percent), "ngram-links")
-    scratch.release(pairs.sparkSession)
     roots = scratch.save(components(links), "ngram-first-roots")
     near = pairs.join(first, ["x", "y"], "left_anti")
     for end in ("x", "y"):
@@ -317,7 +318,6 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, count
     sets = document_sets(docs, width, percent)
     copies = class_copies(sets)
     rows = prefixes(docs, width, percent, frequent(sets))
-    scratch.release(docs.sparkSession)
     pairs = scratch.save(candidate_pairs(rows, percent), "ngram-pairs")
     members = families(rows, copies)
     pairs = outside_families(pairs, members)
@@ -325,16 +325,13 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, count
     wanted = wanted.unionByName(members.select("fp")).distinct()
     parts = wanted_sets(docs, sets, wanted, width)
     del wanted
-    scratch.release(docs.sparkSession)
     if count:
         links = scratch.save(pair_links(pairs.drop("c"), parts, percent), "ngram-links")
     else:
         links = best_then_rest(pairs, parts, percent)
-    scratch.release(docs.sparkSession)
     tiles = scratch.save(family_links(members, parts, percent), "ngram-tile-links")
     for done in (parts, rows):
         scratch.drop(done)
-    scratch.release(docs.sparkSession)
     roots = components(scratch.save(links.unionByName(tiles.select("x", "y")), "ngram-links"))
     classes = copies.join(scratch.save(roots, "ngram-roots").withColumnRenamed("node", "fp"), "fp", "left")
     if count:

@@ -4,8 +4,9 @@ Lengths are whole numbers up to the capacity, so pieces of one length are interc
 and the problem is a histogram of at most ``capacity`` counts.  Patterns of up to
 ``DOCS_PER_PATTERN`` lengths (in classes of ``CLASS`` tokens) that fill a sequence are
 enumerated, their repeat counts fitted to the histogram by non-negative least squares and
-rounded down; the pieces that remain, short ones above all, go into the room left by best
-fit, longest first.  The driver only sees the histogram and the patterns; both are bounded
+rounded down; the last place of a pattern takes the longest length that the room left by
+the others holds.  The pieces that remain, short ones above all, go into the room left by
+best fit, longest first.  Where best fit alone needs fewer sequences, its plan is used.  The driver only sees the histogram and the patterns; both are bounded
 by the capacity.  Pieces find their places by rank within their length: a local rank from
 the writing task plus the counts of earlier tasks, so no task sees all pieces of a length.
 
@@ -113,50 +114,70 @@ class Plan:
         return sum(r for r, _ in self.groups())
 
 
+def _repeats(ways: list[tuple[int, ...]], wanted: np.ndarray) -> np.ndarray:
+    """How often each pattern is used, so that no class is used up."""
+    a = np.zeros((len(wanted), len(ways)))
+    for j, way in enumerate(ways):
+        for c in way:
+            a[c, j] += 1
+    return np.floor(nnls(a, wanted) + 1e-6).astype(np.int64)
+
+
+def _longest(left: dict[int, int], used: dict[int, int], stock: list[list[int]], top: int, low: int, room: int) -> int | None:
+    """The longest length at hand of at most ``room``, looked for in the classes from ``top`` down to ``low``."""
+    for c in range(top, low - 1, -1):
+        own = stock[c]
+        while own and not left[own[0]]:
+            own.pop(0)
+        for k in own:
+            if k <= room and left[k] > used.get(k, 0):
+                return k
+    return None
+
+
 def fit(counts: dict[int, int], capacity: int = CAPACITY, width: int = CLASS) -> Plan:
-    """Pack a histogram: fitted patterns first, then best fit for the rest."""
+    """Pack a histogram: fitted patterns first, then best fit for the rest; or best fit alone where that is better."""
+    alone = Plan(capacity)
+    alone.best_fit(dict(counts))
     plan, left = Plan(capacity), dict(counts)
     if left.get(capacity):
         plan.add(left.pop(capacity), [(capacity, 1)])
     classes = capacity // width
     least = SHORT // width + 1
     ways = [p for total in range(classes, classes - 2, -1) for p in patterns(total, DOCS_PER_PATTERN, least)]
-    if classes >= 2 and ways:
-        long = {k: n for k, n in left.items() if -(-k // width) >= least}
-        wanted = np.zeros(classes + 1)
-        for k, n in long.items():
-            wanted[-(-k // width)] += n
-        a = np.zeros((classes + 1, len(ways)))
-        for j, way in enumerate(ways):
-            for c in way:
-                a[c, j] += 1
-        repeats = np.floor(nnls(a, wanted) + 1e-6).astype(np.int64)
-        queues = {c: sorted((k for k in long if -(-k // width) == c), reverse=True) for c in range(classes + 1)}
-        for j in np.argsort(-repeats, kind="stable"):
-            way, due = ways[j], int(repeats[j])
-            while due > 0:
-                take, content = due, []
-                used: dict[int, int] = {}
-                for c in way:
-                    while queues[c] and left.get(queues[c][0], 0) - used.get(queues[c][0], 0) <= 0:
-                        if used.get(queues[c][0]):
-                            break
-                        queues[c].pop(0)
-                    k = next((k for k in queues[c] if left[k] - used.get(k, 0) > 0), None)
-                    if k is None:
-                        take = 0
-                        break
-                    used[k] = used.get(k, 0) + 1
-                    content.append((k, 1))
-                if not take:
+    if classes < 2 or not ways:
+        return alone
+    stock: list[list[int]] = [[] for _ in range(classes + 1)]
+    wanted = np.zeros(classes + 1)
+    for k, n in left.items():
+        c = -(-k // width)
+        if c >= least:
+            stock[c].append(k)
+            wanted[c] += n
+    for own in stock:
+        own.sort(reverse=True)
+    repeats = _repeats(ways, wanted)
+    for j in np.argsort(-repeats, kind="stable"):
+        way, due = ways[j], int(repeats[j])
+        while due > 0:
+            used: dict[int, int] = {}
+            room = capacity
+            for i, c in enumerate(way):
+                top = min(room // width + 1, classes) if i == len(way) - 1 else c
+                k = _longest(left, used, stock, top, c if i < len(way) - 1 else least, room)
+                if k is None:
                     break
-                take = min(due, *(left[k] // m for k, m in used.items()))
-                for k, m in used.items():
-                    left[k] -= take * m
-                plan.add(take, content)
-                due -= take
+                used[k] = used.get(k, 0) + 1
+                room -= k
+            if sum(used.values()) < len(way):
+                break
+            take = min(due, *(left[k] // m for k, m in used.items()))
+            for k, m in used.items():
+                left[k] -= take * m
+            plan.add(take, list(used.items()))
+            due -= take
     plan.best_fit({k: n for k, n in left.items() if n})
-    return plan
+    return plan if plan.sequences() <= alone.sequences() else alone
 
 
 def slots(plan: Plan) -> np.ndarray:
@@ -219,7 +240,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             kept = [b.column(f.name) for f in schema if f.name in b.schema.names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], schema=schema)
 
-    ranked = found.join(starts, ["part", "length"]).select(
+    # the table grows with the parts, so it is never sent to all tasks
+    ranked = found.join(starts.hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("local") + F.col("before")).alias("rank")
     )
     return ranked.mapInArrow(place, PLACED)

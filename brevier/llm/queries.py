@@ -67,7 +67,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(documents(spark, sf_dir))
     first = F.when(F.col("copies") > 0, mixing.position(F.lit(0)))
     plan = plan.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position"))
-    return plan.repartitionByRange("first_position").sortWithinPartitions("first_position")
+    return plan.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")  # many are null
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ fraction, any contiguous cut holds each source in its overall share, so equal cu
 shards that all match the mixture.
 
 Defined cases: a null source is a stratum of its own; a null text has size 1 and the
-checksum of no bytes; a null doc_id hashes like the word "null"; identical rows are
+checksum of no bytes; a null doc_id hashes like the word "null" and the text; identical rows are
 interchangeable; no rows give no rows.  Other columns are ignored.
 """
 
@@ -34,7 +34,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
         stratum().alias("stratum"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), text)))).alias("h"),
         F.lit(1).cast("long").alias("one"),
     )
     base = scratch.save(ranking.hash_buckets(base, "h"), "shard-rows")
