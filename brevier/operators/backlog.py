@@ -74,25 +74,38 @@ def last_wins(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 def reusable_summary(news: DataFrame, summaries: DataFrame, lang: str) -> DataFrame:
     """For each item a summary of itself or of an item with the same content, its own first.
-    The OR of two keys is a union of two equi-joins."""
-    s = summaries.where(F.col("lang") == lang).select(F.col("news_id").alias("of"), "version", "summary")
-    own = news.select("id").join(s, F.col("id") == F.col("of")).withColumn("own", F.lit(1))
-    twin = news.select(F.col("id").alias("of"), "content_hash").join(s, "of")
-    same = news.select("id", "content_hash").join(twin, "content_hash").where("id <> of").drop("content_hash").withColumn("own", F.lit(0))
-    order = Window.partitionBy("id").orderBy(F.col("own").desc(), F.col("version").desc(), "of")
-    both = own.unionByName(same).withColumn("rn", F.row_number().over(order)).where("rn = 1")
-    return both.select("id", "of", "version", "own")
+    The best offer of each content is aggregated before the join, so copies never meet in pairs."""
+    s = summaries.where(F.col("lang") == lang).select(F.col("news_id").alias("of"), "version")
+    offers = news.select(F.col("id").alias("of"), "content_hash").join(s, "of")
+    order = F.struct((-F.col("version")).alias("old"), "of")
+    own = offers.groupBy("of").agg(F.max("version").alias("version"))
+    twin = offers.groupBy("content_hash").agg(F.min(order).alias("best"))
+    found = news.join(own.select(F.col("of").alias("id"), F.col("version").alias("own_version")), "id", "left").join(twin, "content_hash", "left")
+    hit = F.col("own_version").isNotNull()
+    return found.where(hit | F.col("best").isNotNull()).select(
+        "id", F.when(hit, F.col("id")).otherwise(F.col("best.of")).alias("of"),
+        F.when(hit, F.col("own_version")).otherwise(-F.col("best.old")).alias("version"), hit.cast("int").alias("own"),
+    )
 
 
 def resolve_natural_keys(probes: DataFrame, news: DataFrame) -> DataFrame:
-    """The stored row that matches a probe best: id counts 3, url 2, content hash 1."""
+    """The stored row that matches a probe best: id counts 3, url 2, content hash 1.
+
+    Of a content's rows only the smallest id can win by content alone, so copies meet their
+    probes once; the rows found by id or url are looked at for the content too.
+    """
+    named = news.select(F.col("id").alias("found"), F.col("url").alias("u"), F.col("content_hash").alias("c"))
+    by_content = named.groupBy(F.col("c").alias("content_hash")).agg(F.min("found").alias("found"))
     parts = [
-        probes.join(news.select(F.col("id").alias("found"), F.col(k).alias(k)), k).select("probe", "found", F.lit(w).alias("w"))
-        for k, w in (("id", 3), ("url", 2), ("content_hash", 1))
+        probes.join(named, probes["id"] == named["found"]).select("probe", "id", "url", "content_hash", "found", "u", "c"),
+        probes.join(named, probes["url"] == named["u"]).select("probe", "id", "url", "content_hash", "found", "u", "c"),
+        probes.join(by_content, "content_hash").join(named, "found").select("probe", "id", "url", "content_hash", "found", "u", "c"),
     ]
-    scores = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("probe", "found").agg(F.sum("w").alias("score"))
-    order = Window.partitionBy("probe").orderBy(F.col("score").desc(), "found")
-    return scores.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    weight = lambda a, b, n: F.coalesce(F.when(F.col(a) == F.col(b), n), F.lit(0))
+    score = weight("id", "found", 3) + weight("url", "u", 2) + weight("content_hash", "c", 1)
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("probe", "found", score.cast("long").alias("score"))
+    best = found.groupBy("probe").agg(F.min(F.struct((-F.col("score")).alias("minus"), "found")).alias("best"))
+    return best.select("probe", "best.found", (-F.col("best.minus")).alias("score"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, replace: list[str], keep: list[str]) -> DataFrame:

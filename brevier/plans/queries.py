@@ -194,7 +194,7 @@ def reusable_summary(spark, d):
     return backlog.reusable_summary(S.news(spark, d), S.summaries(spark, d), "en")
 
 
-PROBES = "probes AS (SELECT id AS probe, (id * 7) % 1000 AS id, url, content_hash FROM news WHERE id % 3 = 0)"
+PROBES = "probes AS (SELECT id AS probe, id * 7 % (1 + (SELECT max(id) FROM news)) AS id, url, content_hash FROM news)"
 
 
 @register(f"""WITH {S.NEWS_SQL}, {PROBES}, s AS (SELECT probe, n.id AS found, 3 * (n.id = p.id)::INT + 2 * (n.url = p.url)::INT
@@ -202,7 +202,8 @@ PROBES = "probes AS (SELECT id AS probe, (id * 7) % 1000 AS id, url, content_has
   SELECT probe, found, score::BIGINT AS score FROM s QUALIFY row_number() OVER (PARTITION BY probe ORDER BY score DESC, found) = 1""")
 def natural_key_resolution(spark, d):
     n = S.news(spark, d)
-    probes = n.where("id % 3 = 0").select(F.col("id").alias("probe"), (F.col("id") * 7 % 1000).alias("id"), "url", "content_hash")
+    size = n.agg((F.max("id") + 1).alias("size"))  # one row
+    probes = n.join(F.broadcast(size)).select(F.col("id").alias("probe"), (F.col("id") * 7 % F.col("size")).alias("id"), "url", "content_hash")
     return backlog.resolve_natural_keys(probes, n)
 
 
