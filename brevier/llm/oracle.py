@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from . import mixing, pii, quality, sharding
@@ -16,7 +17,7 @@ def words(text: str) -> str:
 
 def _spans(kind: str, pattern: str, valid: str) -> str:
     """Rows doc_id, a, rank, e, kind, hit of one kind; ``valid`` may use hit, a and text."""
-    return f"""SELECT doc_id, a, {pii.KINDS.index(kind)} AS rank, e, '{kind}' AS kind, t FROM (
+    return f"""SELECT doc_id, a, {pii.KINDS.index(kind)} AS rank, e, '{kind}' AS kind, t, hit FROM (
       SELECT doc_id, t, hit, list_sum(list_slice(lens, 1, i)) - length(hit) AS a, list_sum(list_slice(lens, 1, i)) AS e FROM (
         SELECT doc_id, t, lens, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM (
           SELECT *, list_transform(hits, lambda h, k: length(h) + length(gaps[k])) AS lens FROM (
@@ -35,34 +36,43 @@ MOD97 = f"""length({SOLID}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, li
   lambda r, c: CASE WHEN c >= 100 THEN (r * 100 + c // 100 + 9) % 97 ELSE (r * 10 + c - 48) % 97 END) = 1"""
 
 
-def _near(kind: str) -> str:
-    before = f"substr(t, greatest(a - {pii.CONTEXT}, 0)::BIGINT + 1, least(a, {pii.CONTEXT})::BIGINT)"
-    return f"regexp_matches({before}, '{pii.WORDS[kind]}')"
+#: The contract's base patterns.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
 
 
 def _plain(pattern: str) -> str:
-    """Without the look-behinds and possessive loops, which change no match."""
-    for a in (r"(?:\G|(?<![A-Za-z0-9._%+-]))", "(?<![0-9])"):
-        pattern = pattern.replace(a, "")
-    return pattern.replace("++", "+").replace("(?:", "(")
+    """Without look-behinds and possessive loops, which change no match."""
+    return re.sub(r"\(\?<!\[[^\]]*\]\)", "", pattern).replace("++", "+").replace("}+", "}").replace("(?:", "(")
+
+
+def _score(kind: str) -> str:
+    before = f"substr(t, greatest(a - {pii.CONTEXT}, 0)::BIGINT + 1, least(a, {pii.CONTEXT})::BIGINT)"
+    return f"""least(100, greatest(0, {pii.SCORES[kind]} + CASE WHEN regexp_matches({before}, '{pii.RAISING[kind]}') THEN {pii.GAIN} ELSE 0 END
+      - CASE WHEN regexp_matches({before}, '{pii.LOWERING}') THEN {pii.LOSS} ELSE 0 END))"""
 
 
 def _pii() -> str:
-    valid = {
-        "email": "true", "ip": OCTETS, "card": LUHN, "phone": f"length({DIGITS}) BETWEEN 10 AND 15",
-        "iban": MOD97, "ssn": _near("ssn"), "tel": _near("tel"),
-    }
-    rows = {k: _spans(k, _plain(p), valid[k]) for k, p in pii.PATTERNS.items()}
+    valid = {"ip": OCTETS, "card": LUHN, "phone": f"length({DIGITS}) BETWEEN 10 AND 15", "iban": MOD97}
+    valid["secret"] = "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')"
+    rows = {
+        k: f"SELECT *, {_score(k)} AS score FROM ({_spans(k, BASE.get(k) or _plain(p), valid.get(k, 'true'))})"
+        for k, p in pii.PATTERNS.items()
+    }
     base = " UNION ALL ".join(rows[k] for k in pii.KINDS[:4])
     more = " UNION ALL ".join(rows[k] for k in pii.KINDS[4:])
-    written = "coalesce(string_agg(kind || ':' || a::BIGINT || ':' || e::BIGINT, ',' ORDER BY a, rank), '')"
+    joined = lambda x: f"coalesce(string_agg({x}, ',' ORDER BY a, rank), '')"
+    written = joined("kind || ':' || a::BIGINT || ':' || e::BIGINT")
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.KINDS[:4])
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS MATERIALIZED ({base}), m0 AS ({more}),
-      m AS (SELECT * FROM m0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = m0.doc_id AND b.a < m0.e AND m0.a < b.e)),
+      m AS (SELECT * FROM m0 WHERE score >= {pii.MIN_SCORE} AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = m0.doc_id AND b.a < m0.e AND m0.a < b.e)),
       bs AS (SELECT doc_id, {counts}, {written} AS base FROM b GROUP BY 1),
-      al AS (SELECT doc_id, {written} AS spans FROM (SELECT * FROM b UNION ALL SELECT * FROM m) GROUP BY 1)
+      al AS (SELECT doc_id, {written} AS spans, {joined("score::BIGINT::VARCHAR")} AS scores, count(*) AS n_spans FROM (SELECT * FROM b UNION ALL SELECT * FROM m) GROUP BY 1)
       SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256,
-        coalesce(spans, '') AS spans FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN al ON al.doc_id = d.doc_id"""
+        coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_spans, 0) AS n_spans
+        FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN al ON al.doc_id = d.doc_id"""
 
 
 def _ngram(width: int = 3, percent: int = 90) -> str:
@@ -93,7 +103,7 @@ def _sharding() -> str:
     order = "h, doc_id, size, text_crc32"
     return f"""WITH t AS MATERIALIZED (SELECT {table} AS tab),
       b AS MATERIALIZED (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc} AS text_crc32,
-        md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents, t),
+        md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, ''))) AS h FROM documents, t),
       r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY {order}) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM b),
       p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, {order}) - 1 AS pos, count(*) OVER () AS n FROM r),
       s AS (SELECT *, (pos * {k} // n)::INT AS shard FROM p)
@@ -104,7 +114,7 @@ def _sharding() -> str:
 def _mixing() -> str:
     turn = lambda xs, kind: f"(CAST([{', '.join(map(str, xs))}] AS {kind}[]))[(i % {len(xs)}) + 1]"
     return f"""WITH d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS size,
-        md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, ''))) AS h FROM documents),
       s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY 1),
       s1 AS (SELECT *, {turn(mixing.WEIGHTS, "BIGINT")} AS w, {turn(mixing.SLOPES, "DOUBLE")} AS slope, source_size * {mixing.MAX_EPOCHS} AS most FROM s0),
       s2 AS (SELECT *, most::DOUBLE / w AS level FROM s1),
@@ -123,14 +133,16 @@ def _mixing() -> str:
 
 
 def _quality() -> str:
+    """Written out with the rules' own numbers."""
     n = f"len({words('x')})"
     count = lambda p: f"len(regexp_extract_all(x, '{p}'))"
-    symbols = quality.SYMBOLS
-    fails = f"""({count(symbols)} > {quality.MAX_SYMBOLS}::DOUBLE * length(array_to_string({words("x")}, ''))
-      OR {count("!{2,}")} > {quality.MAX_SHOUTS}::DOUBLE * {n}
-      OR {count("[|]")} >= {quality.MIN_BARS} AND {count("[|]")} > {quality.MAX_BARS}::DOUBLE * {n}
-      OR {n} >= {quality.MIN_WORDS} AND len(list_distinct({words("x")})) < {quality.MIN_DISTINCT}::DOUBLE * {n}
-      OR {n} <= 12 AND regexp_matches(lower(x), '{quality.BOILERPLATE}'))"""
+    symbols, furniture = "[#*$%&|<>]", quality.BOILERPLATE.replace("'", "''")
+    fails = f"""({count(symbols)} > 0.1::DOUBLE * length(array_to_string({words("x")}, ''))
+      OR {count("!{2,}")} > 0.3::DOUBLE * {n}
+      OR {count("[|]")} >= 2 AND {count("[|]")} > 0.2::DOUBLE * {n}
+      OR {n} >= 10 AND len(list_distinct({words("x")})) < 0.3::DOUBLE * {n}
+      OR {n} <= 12 AND regexp_matches(lower(x), '{furniture}')
+      OR {n} <= 8 AND NOT regexp_matches(x, '[.!?:;\u2026\u3002\uff01\uff1f"\u201d\u00bb)][\\x20\\x09-\\x0D]*$'))"""
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
       w AS MATERIALIZED (SELECT doc_id, t, {words("t")} AS ws, list_filter(string_split(t, chr(10)),
         lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -141,8 +153,8 @@ def _quality() -> str:
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
         length(array_to_string({words(f"array_to_string(list_filter(ls, lambda x: NOT {fails}), chr(10))")}, '')) AS clean_chars
         FROM w LEFT JOIN v ON v.doc_id = w.doc_id),
-      b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a)
-      SELECT *, NOT (base_failed OR clean_chars < {1 - quality.MAX_LOST}::DOUBLE * word_chars) AS kept FROM b"""
+      b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+      SELECT *, NOT (base_failed OR clean_chars < 0.7::DOUBLE * word_chars) AS kept FROM b"""
 
 
 def _lines() -> str:

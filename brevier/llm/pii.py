@@ -5,8 +5,12 @@ failing matches dropped without another try): email; ip, parts at most 255; card
 digits passing Luhn; phone, ``+`` and 10 to 15 digits.
 
 Added kinds, kept when their score reaches ``MIN_SCORE`` and they overlap no base span:
-iban (mod-97 gives full score), ssn and tel, whose pattern alone scores too little and needs
-a context word among the ``CONTEXT`` characters before it.
+iban (mod-97 holds), key (private key heads and the prefixed keys of large services),
+password (an assignment), and ssn, tel and secret (a long run of letters and digits), whose
+pattern alone scores too little.  Each kind has a first score; a context word of its kind
+among the ``CONTEXT`` characters before a span raises it by ``GAIN``, a word of samples and
+reference numbers lowers it by ``LOSS``.  Scores are whole percent; base spans stay whatever
+their score.
 
 Places are found without a UDF: ``split`` gives the text between matches and
 ``regexp_extract_all`` the matches, in step, so running lengths are the offsets.  The scan
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .hof import bind, prefix_sums, total
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "tel", "secret", "key", "password")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -33,10 +37,20 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "tel": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+",
+    "key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}",
+    "password": r"(?i)(?:password|passwd|pwd|passwort|contrase\x{F1}a)[\x20]*[:=][\x20]*[^\x20\x09-\x0D]{4,}",
 }
-WORDS = {"ssn": "(?i)(?:ssn|social security)", "tel": "(?i)(?:phone|tel|call|mobile|fax)"}
-CONTEXT, BASE_SCORE, CONTEXT_SCORE, MIN_SCORE = 40, 0.4, 0.4, 0.6
-SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"
+SCORES = {"email": 80, "ip": 80, "card": 80, "phone": 80, "iban": 90, "ssn": 40, "tel": 40, "secret": 40, "key": 100, "password": 80}
+RAISING = {
+    "email": "(?i)(?:mail|contact|kontakt|correo)", "ip": "(?i)(?:ip|host|server|address)", "card": "(?i)(?:card|visa|credit|karte|carte|tarjeta)",
+    "phone": "(?i)(?:phone|tel|call|mobile|fax)", "iban": "(?i)(?:iban|account|konto|compte|cuenta)", "ssn": "(?i)(?:ssn|social security)",
+    "tel": "(?i)(?:phone|tel|call|mobile|fax)", "secret": "(?i)(?:token|secret|password|credential|bearer|api.?key|access.?key)",
+    "key": "(?i)(?:key|secret)", "password": "(?i)(?:login|user|account)",
+}
+LOWERING = "(?i)(?:sample|example|placeholder|invoice|order no|isbn)"
+CONTEXT, GAIN, LOSS, MIN_SCORE = 40, 40, 30, 60
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:int>>"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -102,11 +116,22 @@ def _tagged(spans: Column, kind: str, score) -> Column:
         spans,
         lambda s: F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"),
-            F.lit(kind).alias("kind"), score(s).cast("double").alias("score"),
+            F.lit(kind).alias("kind"), score(s).cast("int").alias("score"),
         ),
     )
 
 
+def _score(text: Column, kind: str):
+    """The score of a span of ``kind`` by the characters before it."""
+
+    def score(s: Column) -> Column:
+        before = F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int"))
+        found = lambda words, by: F.when(before.rlike(words), by).otherwise(0)
+        return F.least(F.greatest(F.lit(SCORES[kind]) + found(RAISING[kind], GAIN) - found(LOWERING, LOSS), F.lit(0)), F.lit(100))
+
+    return score
+
+
 def _base(text: Column) -> Column:
     confirmed = {
         "email": (F.contains(text, F.lit("@")), lambda h: F.lit(True)),
@@ -118,24 +143,25 @@ def _base(text: Column) -> Column:
     def part(kind: str) -> Column:
         may, holds = confirmed[kind]
         hits = F.filter(proposals(text, PATTERNS[kind]), lambda s: holds(s["hit"]))
-        return F.when(may, _tagged(hits, kind, lambda s: F.lit(1.0))).otherwise(F.array().cast(SPANS))
+        return F.when(may, _tagged(hits, kind, _score(text, kind))).otherwise(F.array().cast(SPANS))
 
     return F.array_sort(F.concat(*[part(k) for k in confirmed]))
 
 
 def _added(text: Column, base: Column) -> Column:
-    def context(kind: str):
-        def score(s: Column) -> Column:
-            before = F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int"))
-            return F.when(before.rlike(WORDS[kind]), BASE_SCORE + CONTEXT_SCORE).otherwise(BASE_SCORE)
-
-        return score
-
-    scores = {"iban": lambda s: F.when(_mod97(s["hit"]), 1.0).otherwise(0.0), "ssn": context("ssn"), "tel": context("tel")}
+    mixed = lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]")
+    holds = {"iban": _mod97, "secret": mixed}
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     passes = lambda s: (s["score"] >= MIN_SCORE) & free(s)
-    parts = [F.filter(_tagged(proposals(text, PATTERNS[k]), k, f), passes) for k, f in scores.items()]
-    return F.when(text.rlike("[0-9]{2}"), F.concat(*parts)).otherwise(F.array().cast(SPANS))
+
+    def part(kind: str) -> Column:
+        hits = proposals(text, PATTERNS[kind])
+        if kind in holds:
+            hits = F.filter(hits, lambda s: holds[kind](s["hit"]))
+        return F.filter(_tagged(hits, kind, _score(text, kind)), passes)
+
+    may = text.rlike("[0-9]{2}|PRIVATE KEY|[A-Za-z0-9_/+-]{20}|(?i)(?:password|passwd|pwd|passwort|contrase\\x{F1}a)[\\x20]*[:=]")
+    return F.when(may, F.concat(*[part(k) for k in KINDS[4:]])).otherwise(F.array().cast(SPANS))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -151,6 +177,11 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def scores(spans: Column) -> Column:
+    """The spans' scores in percent, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",")
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span's text replaced by its kind in brackets; overlaps merge into the first."""
 

@@ -1,8 +1,8 @@
 """Line-first cleaning.
 
-Every line with a word is judged by its own rules: punctuation (symbols, shouting, no word
-ending a short line), navigation (bar-separated menus, one word over and over) and
-boilerplate phrases.  Failing lines are removed; a document that loses more than
+Every line with a word is judged by its own rules: punctuation (symbols, shouting, a line of
+at most ``SHORT`` words that no sentence mark ends), navigation (bar-separated menus, one
+word over and over) and boilerplate phrases in English, German, French and Spanish.  Failing lines are removed; a document that loses more than
 ``MAX_LOST`` of its word characters, or fails the base limits, is rejected.
 
 Base limits: fewer than 10 words, or over 20 % of the words inside 5-word windows that
@@ -23,10 +23,14 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, MAX_LOST = 10, 20, 5, 0.3
 MAX_SYMBOLS, MAX_SHOUTS, MIN_BARS, MAX_BARS, MIN_DISTINCT = 0.1, 0.3, 2, 0.2, 0.3
+SHORT, SENTENCE_END = 8, "[.!?:;\u2026\u3002\uff01\uff1f\"\u201d\u00bb)][\\x20\\x09-\\x0D]*$"
 #: Phrases of page furniture, compared without case.
 BOILERPLATE = (
     "click here|read more|sign up|log in|subscribe now|cookie policy|privacy policy|terms of use|"
-    "terms of service|enable javascript|lorem ipsum|share this|skip to content|back to top"
+    "terms of service|enable javascript|lorem ipsum|share this|skip to content|back to top|"
+    "hier klicken|weiterlesen|jetzt anmelden|datenschutzerkl\u00e4rung|nutzungsbedingungen|zum inhalt springen|nach oben|"
+    "cliquez ici|lire la suite|se connecter|politique de confidentialit\u00e9|conditions d'utilisation|aller au contenu|haut de page|"
+    "haga clic aqu\u00ed|leer m\u00e1s|iniciar sesi\u00f3n|pol\u00edtica de privacidad|t\u00e9rminos de uso|saltar al contenido|volver arriba"
 )
 
 
@@ -56,7 +60,6 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         gaps = F.transform(places, lambda p, j: F.least(F.lit(width), F.coalesce(F.get(places, j + 1) - p, F.lit(width))))
         return total(gaps)
 
-
     exact = bind(placed, lambda runs: bind(same(runs), cover))
     none = F.lit(0).cast("long")
     found = bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact).otherwise(none))
@@ -75,7 +78,8 @@ def line_fails(line: Column) -> Column:
         menu = (bars >= MIN_BARS) & (bars > MAX_BARS * n)
         same = (n >= MIN_WORDS) & (F.size(F.array_distinct(words)) < MIN_DISTINCT * n)
         furniture = (n <= 12) & F.lower(line).rlike(BOILERPLATE)
-        return symbols | shouts | menu | same | furniture
+        fragment = (n <= SHORT) & ~line.rlike(SENTENCE_END)
+        return symbols | shouts | menu | same | furniture | fragment
 
     return bind(words_of(line), judge)
 

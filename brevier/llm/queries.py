@@ -30,6 +30,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(pii.written(F.col("base_spans")), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
+        pii.scores(F.col("spans")).alias("scores"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -17,10 +17,8 @@ from . import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
-BOILERPLATE = (
-    "click here|read more|sign up|log in|subscribe now|cookie policy|privacy policy|terms of use|"
-    "terms of service|enable javascript|lorem ipsum|share this|skip to content|back to top"
-)
+BOILERPLATE = "click here|read more|sign up|log in|subscribe now|weiterlesen|lire la suite|leer m\u00e1s"
+SENTENCE_END = r"[.!?:;\u2026\u3002\uff01\uff1f\"\u201d\u00bb)]\s*$"
 
 
 def planted(first):
@@ -48,6 +46,7 @@ def quality(rows):
             or (bars >= 2 and bars > 0.2 * n)
             or (n >= 10 and len(set(w)) < 0.3 * n)
             or (n <= 12 and re.search(BOILERPLATE, line.lower()) is not None)
+            or (n <= 8 and re.search(SENTENCE_END, line) is None)
         )
 
     for row in rows:
@@ -60,26 +59,38 @@ def quality(rows):
 
 def line_dedup(rows):
     mask = lambda w: "<*>" if re.search("[0-9@]|://", w) else w
-    leaves, texts = defaultdict(list), {r[0]: r[1] for r in rows}
+    lines, texts = [], {r[0]: r[1] for r in rows}
     for d, text in texts.items():
-        for i, line in enumerate(text.split("\n")):
-            w = brute.words(line)
-            if len(w) >= 4:
-                leaves[len(w), *map(mask, w[:3])].append((d, i, w))
+        lines += [(d, i, line.strip(" \t\x0b\x0c\r"), brute.words(line)) for i, line in enumerate(text.split("\n")) if brute.words(line)]
+
+    def different(found):
+        return len({texts[d] for d, *_ in found})
+
+    def ways(w):
+        a, b, c = map(mask, w[:3])
+        return [(len(w), a, b, c), (len(w), a, b, None), (len(w), a, None, c), (len(w), None, b, c)]
+
+    reached = defaultdict(list)
+    for line in lines:
+        if len(line[3]) >= 4:
+            for way in ways(line[3]):
+                reached[way].append(line)
+    hot = {way for way, found in reached.items() if different(found) >= 10}
+    leaf = {line[:2]: next((way for way in ways(line[3]) if way in hot), None) for line in lines if len(line[3]) >= 4}
+    counts = Counter((leaf.get(line[:2]), k, mask(t)) for line in lines for k, t in enumerate(line[3]) if mask(t) != "<*>")
     keys = defaultdict(list)
-    for leaf, lines in leaves.items():
-        if len({texts[d] for d, *_ in lines}) >= 10:
-            counts = [Counter(mask(w[k]) for *_, w in lines) for k in range(leaf[0])]
-            best = [min(c.items(), key=lambda x: (-x[1], x[0])) for c in counts]
-            template = [w if 2 * n >= len(lines) else None for w, n in best]
-            for d, i, w in lines:
-                same = sum(mask(a) == b != "<*>" for a, b in zip(w, template, strict=True))
-                keys[leaf if same >= 0.6 * len(w) else (leaf, *w)].append((d, i))
+    for d, i, line, w in lines:
+        keys[line, 2 if len(w) >= 50 else 10].append((d, i))
+        at = leaf.get((d, i))
+        if at:
+            fixed = [(k, t) for k, t in enumerate(map(mask, w)) if t != "<*>" and counts[at, k, t] >= 10]
+            if len(fixed) >= 0.6 * len(w) and sum(k >= 3 for k, _ in fixed) >= 0.6 * (len(w) - 3):
+                keys[(at, *fixed), 10].append((d, i))
     gone = set()
-    for lines in keys.values():
-        if len({texts[d] for d, _ in lines}) >= 10:
-            first = min(d for d, _ in lines)
-            gone |= {x for x in lines if x[0] != first}
+    for (_, need), found in keys.items():
+        if different(found) >= need:
+            first = min(d for d, _ in found)
+            gone |= {x for x in found if x[0] != first}
     for row in rows:
         left = "\n".join(x for i, x in enumerate(row[1].split("\n")) if (row[0], i) not in gone)
         if left == row[1] or brute.words(left):
@@ -154,3 +165,18 @@ def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 4096 and sorted(ends) == list(range(len(ends)))
     assert Counter(last) == Counter(got)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, repeated rows, an empty table and clashing extra columns go through the chain."""
+    more = KIND + ", h string, lines string, n long, size long, words string, copies long, quality string, line_key string"
+    text = "A clean line of plain words that ends as it should, with nothing odd in it."
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (None, text + " More of it.", None, None, None), (2, None, "en", "s", 0), (3, "", "en", None, 0)]
+    rows = [(*r, "x", "y", 1, 2, "z", 3, "q", "k") for r in rows]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, more)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = scratch.save(stage(spark, docs, ""), "odd")
+            assert docs.columns == [c.split()[0] for c in more.split(", ")], name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert len(last) == docs.count() == 0 if not table else len(last) > 0
