@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -365,29 +365,43 @@ def daily_brief_select(spark, d):
     return brief.select_digest(_candidates(spark, d), near, P.brief_limit)
 
 
-def _text_udf(f, kind):
-    @F.pandas_udf(kind)
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(f)
+def _batches(rows: DataFrame, kind: str, make) -> DataFrame:
+    """Arrow batches of ``rows`` through ``make``, which gives the rows (tuples of ``kind``) of one row."""
+    names = rows.columns
+    schema = T.StructType.fromDDL(kind)
 
-    return run
+    def run(batches):
+        arrow = pa.schema([(f.name, pa.int64() if f.dataType == T.LongType() else pa.string()) for f in schema])
+        for b in batches:
+            made = [x for r in zip(*(b.column(n).to_pylist() for n in names), strict=True) for x in make(*r)]
+            columns = list(zip(*made, strict=True)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, kind)
 
 
 @register()
 def article_text(spark, d):
-    return S.read(spark, d, "pages").select("page_id", _text_udf(html.article_text, "string")("html").alias("article"))
+    pages = S.read(spark, d, "pages").select("page_id", "html")
+    return _batches(pages, "page_id long, article string", lambda i, x: [(i, html.article_text(x))])
 
 
 @register()
 def clean_content(spark, d):
-    clean = _text_udf(lambda t: html.clean_article("", "", t), "string")
-    return S.read(spark, d, "documents").select("doc_id", clean("text").alias("content"))
+    n = S.read(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("title"), "text")
+    return _batches(n, "doc_id long, content string", lambda i, title, x: [(i, html.clean_article(title, "", x))])
 
 
 @register()
 def sentence_chunks(spark, d):
-    parts = _text_udf(html.chunks, "array<string>")
-    return S.read(spark, d, "documents").select("doc_id", F.posexplode(parts("text")).alias("place", "chunk"))
+    n = S.read(spark, d, "documents").select("doc_id", "text")
+    return _batches(n, "doc_id long, place long, chunk string", lambda i, x: [(i, k, c) for k, c in enumerate(html.chunks(x))])
+
+
+@register()
+def message_parts(spark, d):
+    n = S.read(spark, d, "documents").select("doc_id", "text")
+    return _batches(n, "doc_id long, place long, part string", lambda i, x: [(i, k, c) for k, c in enumerate(html.message_parts(x or ""))])
 
 
 @register("""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, count(*) / 300.0::DOUBLE AS rate FROM events GROUP BY 1, 2""")
@@ -410,7 +424,7 @@ def error_ratio_alert(spark, d):
     return windows.error_alert(S.read(spark, d, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@register("""SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS p50 FROM events GROUP BY 1""")
+@register("""SELECT event_type, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.5), 6) AS p50 FROM events GROUP BY 1""")
 def p95_by_type(spark, d):
     q = windows.quantiles(S.read(spark, d, "events"))
     return q.select("event_type", F.round("p95", 6).alias("p95"), F.round("p50", 6).alias("p50"))
@@ -436,12 +450,12 @@ def _schema(spark, d) -> T.StructType:
 
 @register("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, d):
-    return windows.run_stream(spark, d, _schema(spark, d), windows.daily_counts, "complete", "stream_daily_counts_out")
+    return windows.run_stream(spark, d, _schema(spark, d), windows.daily_counts, "complete")
 
 
 @register("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, d):
-    return windows.run_stream(spark, d, _schema(spark, d), windows.first_of_key, "append", "stream_dedup_out")
+    return windows.run_stream(spark, d, _schema(spark, d), windows.first_of_key, "append")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

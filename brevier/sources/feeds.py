@@ -95,6 +95,15 @@ def preferred_link(link: Column, description: Column) -> Column:
     return F.trim(F.when(searched(link), F.coalesce(other, link)).otherwise(link))
 
 
+def unwrapped(url: Column) -> Column:
+    """The address that a search engine's redirect leads to (``url``, ``q`` or ``continue``)."""
+    plain = F.try_url_decode(url)
+    inner = lambda k: F.try_url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit(k)))
+    found = F.coalesce(*[F.when(inner(k).rlike("^https?://"), inner(k)) for k in ("url", "q", "continue")])
+    redirect = F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).contains("google."), F.lit(False))
+    return F.when(redirect, F.coalesce(found, plain)).otherwise(plain)
+
+
 def first_answer(answers: DataFrame) -> DataFrame:
     """``answers`` (feed, place, items, ok): of each feed the items of the first try that gave any."""
     good = answers.where(F.col("ok") & (F.size("items") > 0))

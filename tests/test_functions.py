@@ -58,7 +58,7 @@ def test_feeds(spark):
     assert got["T"]["link"] == "https://y/2"
     assert got["S"]["published_at"] == got["T"]["published_at"] == datetime(2024, 3, 8, 10)
     urls = one(spark, feeds.candidate_urls(F.lit("https://a.com/rss")))
-    assert urls[0] == "https://a.com/rss" and "http://www.a.com/feed" in urls and len(urls) == len(set(urls))
+    assert urls[0] == "https://a.com/rss" and "http://www.a.com/rss/index.xml" in urls and len(urls) == len(set(urls))
 
 
 def item(i, importance, media, tokens=(), tone=0):
