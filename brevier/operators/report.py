@@ -106,3 +106,10 @@ def due_users(users: DataFrame, as_of: datetime) -> DataFrame:
     rows = users.where(F.col("enabled") & (F.btrim("chat_id") != "") & due)
     lookback = F.least(F.greatest(F.coalesce(hours, F.lit(24)), F.lit(6)), F.lit(168)).cast("long")
     return rows.select("user_id", "chat_id", "frequency", lookback.alias("lookback_hours"))
+
+
+def delivery_totals(sent: DataFrame) -> DataFrame:
+    """By frequency: users due, users served, messages sent; a failed user counts as due only."""
+    return sent.groupBy("frequency").agg(
+        F.count("*").alias("due"), F.count_if("ok").alias("delivered"), F.sum(F.when(F.col("ok"), F.col("messages")).otherwise(0)).cast("long").alias("messages")
+    )

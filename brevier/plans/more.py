@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..functions import text as X
 from ..operators import backlog, planner, similarity, store
 from ..params import DEFAULT as P
@@ -427,3 +428,115 @@ def error_ratio_10m(spark, d):
     return alerts.ratio_alert(S.read(spark, d, "events"), F.col("event_type") == "error").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+
+
+# ---- sources, messages and delivery ----------------------------------------------------------
+
+@register(f"""WITH {S.NEWS_SQL}, p AS (SELECT * FROM (VALUES ('generic', NULL, -100), ('own', 's1', 250), ('two-hop', 's1', 260), ('own', 's2', 240)) v(name, medium, priority))
+  SELECT id, name, priority FROM news LEFT JOIN p ON medium IS NULL OR medium = CASE WHEN id % 3 = 0 THEN 's1' WHEN id % 3 = 1 THEN 's2' ELSE media END
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority DESC) = 1""")
+def processor_dispatch(spark, d):
+    medium = F.when(F.col("id") % 3 == 0, "s1").when(F.col("id") % 3 == 1, "s2").otherwise(F.col("media"))
+    known = {"s1": (("own", 250), ("two-hop", 260)), "s2": (("own", 240),)}
+    return feeds.dispatch(S.news(spark, d).select("id", medium.alias("media")), known, ("generic", -100)).select("id", "name", "priority")
+
+
+@register(f"""WITH {S.NEWS_SQL} SELECT id, coalesce(claimed_at, event_at) AS brief_at, coalesce(claimed_at, event_at, {ASOF}) AS planner_at FROM news""")
+def event_times(spark, d):
+    n = S.news(spark, d)
+    return n.select("id", F.coalesce("claimed_at", "event_at").alias("brief_at"), F.coalesce(F.col("claimed_at"), F.col("event_at"), NOW).alias("planner_at"))
+
+
+@register("SELECT vec_id, len(embedding)::INT AS dims, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def vector_literals(spark, d):
+    v = S.read(spark, d, "embeddings").select("vec_id", similarity.vector_literal(F.col("embedding")).alias("literal"))
+    parsed = similarity.parsed_vector(F.col("literal"))
+    return v.select("vec_id", F.size(parsed).alias("dims"), F.round(F.get(parsed, F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@register("SELECT vec_id, 64 AS dims, sum(x) AS total FROM (SELECT vec_id, unnest(CASE WHEN vec_id % 5 = 0 THEN [0.0::DOUBLE] ELSE [1.0::DOUBLE, 1.0::DOUBLE] END) AS x FROM embeddings) GROUP BY 1")
+def vectors_without_nulls(spark, d):
+    raw = F.when(F.col("vec_id") % 5 == 0, F.array(F.lit(None).cast("double"))).otherwise(F.array(F.lit(1.0), F.lit(1.0)))
+    v = S.read(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dims"), similarity.without_nulls(raw).alias("v"))
+    return v.select("vec_id", "dims", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@register(f"""WITH {S.NEWS_SQL}, {S.SUMMARIES_SQL}, {LATEST} SELECT id, id || '. ' || url || chr(10) || 'Важность: ' || CASE WHEN id % 2 = 0 THEN 'must know' ELSE 'good to know' END || ' • '
+  || strftime(event_at, '%H:%M') || chr(10) || 'Что случилось: ' || summary || chr(10) || 'Почему важно: w' || chr(10) || 'Что дальше: n' || chr(10) || 'Источник: ' || media || chr(10) || url AS card
+  FROM news JOIN latest ON news_id = id""")
+def brief_cards(spark, d):
+    n = S.news(spark, d).join(backlog.latest_summary(S.summaries(spark, d), "en").select(F.col("news_id").alias("id"), "summary"), "id")
+    level = F.when(F.col("id") % 2 == 0, "MUST_KNOW").otherwise("GOOD_TO_KNOW")
+    one = render.card(F.col("id"), F.col("url"), level, F.col("event_at"), F.col("summary"), F.lit("w"), F.lit("n"), F.col("media"), F.col("url"))
+    return n.select("id", one.alias("card"))
+
+
+@register(f"""WITH {S.NEWS_SQL} SELECT id, CASE WHEN lower(language) LIKE 'en%' THEN 'Summarise the news in brief.' WHEN lower(language) LIKE 'es%' THEN 'Resume la noticia en breve.'
+  ELSE 'Кратко изложи новость.' END || chr(10) || url || chr(10) || left(coalesce(nullif(trim(content_clean, ' '), ''), url), 12000) AS prompt FROM news""")
+def prompts(spark, d):
+    n = S.news(spark, d)
+    return n.select("id", render.prompt(X.summary_language(F.col("language")), F.col("url"), F.col("content_clean")).alias("prompt"))
+
+
+@register(f"""WITH {S.users_sql(P.as_of)}, due AS (SELECT user_id, frequency FROM users WHERE enabled AND trim(chat_id) <> '' AND CASE WHEN last_delivery_at IS NULL THEN onboarded_at IS NOT NULL
+  ELSE last_delivery_at + to_days(CASE frequency WHEN 'DAILY' THEN 1 WHEN 'EVERY_2_DAYS' THEN 2 ELSE 3 END) <= {ASOF} END)
+  SELECT frequency, count(*) AS due, count(*) FILTER (user_id % 7 <> 0) AS delivered, (sum(CASE WHEN user_id % 7 <> 0 THEN 1 + user_id % 3 ELSE 0 END))::BIGINT AS messages FROM due GROUP BY 1""")
+def delivery_totals(spark, d):
+    from ..operators import report
+
+    due = report.due_users(S.users(spark, d, P.as_of), P.as_of)
+    sent = due.select("user_id", "frequency", (F.col("user_id") % 7 != 0).alias("ok"), (1 + F.col("user_id") % 3).alias("messages"))
+    return report.delivery_totals(sent)
+
+
+@register("""SELECT user_id, event_id, coalesce(ts - lag(ts) OVER w <= INTERVAL 5 MINUTE AND CAST(ts AS DATE) = CAST(lag(ts) OVER w AS DATE), false) AS hit
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def cache_hits(spark, d):
+    return planner.cache_hits(S.read(spark, d, "events"), "user_id", 300).select("user_id", "event_id", "hit")
+
+
+@register("SELECT event_id, ts AS at, event_type AS level, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def log_scan(spark, d):
+    e = S.read(spark, d, "events")
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.col("event_type").alias("level"), F.get_json_object("props", "$.k").alias("k")))
+    rows = e.select("event_id", F.from_json(line, "struct<ts:string,level:string,k:string>").alias("r"))
+    return rows.select("event_id", F.to_timestamp_ntz(F.col("r.ts"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("at"), F.col("r.level").alias("level"), F.col("r.k").cast("int").alias("k"))
+
+
+@register("SELECT event_id, date_trunc('second', ts) AS parsed FROM events")
+def parsed_dates(spark, d):
+    e = S.read(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    forms = ("EEE, d MMM yyyy HH:mm:ss xx", "yyyy-MM-dd'T'HH:mm:ssxxx", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.get(F.array(*[F.date_format("t", f) for f in forms]), (F.col("event_id") % 3).cast("int"))
+    return e.select("event_id", feeds.parse_date(raw).cast("timestamp_ntz").alias("parsed"))
+
+
+@register(f"""WITH {S.users_sql(P.as_of)}, t AS (SELECT user_id, onboarded_at, last_delivery_at FROM users)
+  SELECT user_id, coalesce(floor(greatest(epoch(last_delivery_at - onboarded_at), 0))::BIGINT, 0) AS seconds, '{{"chat":"' || user_id || '","step":"done"}}' AS payload FROM t""")
+def onboarding_facts(spark, d):
+    u = S.users(spark, d, P.as_of)
+    seconds = F.coalesce(F.greatest(F.timestamp_diff("SECOND", F.col("onboarded_at"), F.col("last_delivery_at")), F.lit(0)), F.lit(0))
+    payload = store.payload_json(F.create_map(F.lit("chat"), F.col("user_id").cast("string"), F.lit("step"), F.lit("done")))
+    return u.select("user_id", seconds.alias("seconds"), payload.alias("payload"))
+
+
+@register("""SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE lower(split_part(d, '|', 2)) END AS action, nullif(lower(split_part(d, '|', 3)), '') AS value FROM (
+  SELECT conv_id, turn, text, CASE turn % 2 WHEN 0 THEN 'ob|Topic|World' ELSE 'ob|done' END AS d FROM conversations)""")
+def onboarding_codes(spark, d):
+    c = S.read(spark, d, "conversations")
+    data = F.when(F.col("turn") % 2 == 0, "ob|Topic|World").otherwise("ob|done")
+    code = X.code(data, "ob")
+    return c.select("conv_id", "turn", F.lower(code["kind"]).alias("action"), F.lower(code["value"]).alias("value"))
+
+
+@register(f"""WITH {S.NEWS_SQL}, {S.SUMMARIES_SQL} SELECT id, coalesce(nullif(trim(content_clean, ' '), ''), url) AS body, sha256(coalesce(nullif(trim(content_clean, ' '), ''), url)) AS hash FROM news""")
+def hashed_content(spark, d):
+    n = S.news(spark, d)
+    body = X.first_non_blank(F.col("content_clean"), F.col("url"))
+    return n.select("id", body.alias("body"), F.sha2(body, 256).alias("hash"))
+
+
+@register(f"""WITH {S.NEWS_SQL}, c AS (SELECT count(*) FILTER (status_content IN ('PENDING', 'IN_PROGRESS')) AS outstanding FROM news) SELECT outstanding, outstanding < 500 AS may_start FROM c""")
+def discovery_gate(spark, d):
+    n = S.news(spark, d).agg(F.count_if(F.col("status_content").isin("PENDING", "IN_PROGRESS")).alias("outstanding"))
+    return planner.may_discover(n)

@@ -112,3 +112,13 @@ def first_answer(answers: DataFrame) -> DataFrame:
 
 def item_id(media: Column, title: Column, at: Column, description: Column) -> Column:
     return stable_id(media, title, at, description)
+
+
+def dispatch(news: DataFrame, known: dict[str, tuple[tuple[str, int], ...]], general: tuple[str, int]) -> DataFrame:
+    """Each item with the processor of the highest priority that takes its medium, else the general one."""
+    best = {medium: max(own, key=lambda p: p[1]) for medium, own in known.items()}
+    name, priority = F.lit(general[0]), F.lit(general[1])
+    for medium, (n, p) in best.items():
+        if p > general[1]:
+            name, priority = F.when(F.col("media") == medium, n).otherwise(name), F.when(F.col("media") == medium, p).otherwise(priority)
+    return news.withColumns({"name": name, "priority": priority})
