@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 DEPTH, MIN_DOCS, MIN_WORDS, SIMILARITY, LONG = 3, 10, 4, 0.6, 50
-#: Leaves sent to every task in one piece (8 bytes each); above this count lines are joined by a shuffle.
+#: Rows of leaves, fixed tokens or recurring templates (8 to 40 bytes each) sent to every task; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 FIELD = "[0-9@]|://"
 BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
@@ -40,8 +40,13 @@ def _masked(token: Column) -> Column:
     return F.when(token.rlike(FIELD), F.lit("<*>")).otherwise(token)
 
 
-def _who() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+#: Stands for a null doc_id, which comes last.
+LAST = (1 << 63) - 1
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be sent to every task if it has few rows."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -55,22 +60,19 @@ def split_lines(docs: DataFrame) -> DataFrame:
     a, b, c = (_masked(F.regexp_extract("line", lead, k)) for k in (1, 2, 3))
     any_ = F.lit("<any>")
     leaves = F.array(*[F.xxhash64("n", *path) for path in ((a, b, c), (a, b, any_), (a, any_, c), (any_, b, c))])
+    # the last bit of k2 says that two texts are enough
+    long = F.shiftleft(F.hash("line").cast("long"), 1).bitwiseOR((F.col("n") >= LONG).cast("long"))
     rows = rows.withColumns({
-        "k1": F.xxhash64("line"), "k2": F.hash("line").cast("long"), "leaves": F.when(F.col("n") >= MIN_WORDS, leaves),
+        "k1": F.xxhash64("line"), "k2": long, "leaves": F.when(F.col("n") >= MIN_WORDS, leaves),
     })
     return scratch.save(rows, "lines")
 
 
-def _texts(rows: DataFrame, *key: str) -> DataFrame:
-    """For each key its different texts, and the first text that has it."""
-    each = rows.groupBy(*key, "h").agg(F.min(_who()).alias("first"))
-    return each.groupBy(*key).agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-
-
 def lines_in_leaves(lines: DataFrame) -> DataFrame:
     """Written: doc_id, h, i, n, leaf, line of the lines whose leaf recurs."""
-    ways = lines.where("leaves IS NOT NULL").select("doc_id", "h", F.explode("leaves").alias("leaf"))
-    hot = scratch.save(_texts(ways, "leaf").where(F.col("texts") >= MIN_DOCS).select("leaf"), "line-leaves")
+    ways = lines.where("leaves IS NOT NULL").select("h", F.explode("leaves").alias("leaf")).distinct()
+    hot = ways.groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCS).select("leaf")
+    hot = scratch.save(hot, "line-leaves")
     kept = ("doc_id", "h", "i", "n", "leaf", "line")
     rows = lines.where("leaves IS NOT NULL")
     if hot.count() <= MOST_BROADCAST:
@@ -93,9 +95,9 @@ def templates(lines: DataFrame) -> DataFrame:
     places = places.select("doc_id", "h", "i", "n", "leaf", "place", F.xxhash64("leaf", "place", "token").alias("key"))
     places = scratch.save(places, "line-places")
     common = places.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_DOCS).select("key")
-    fixed = places.join(scratch.save(common, "line-fixed"), "key").groupBy("doc_id", "h", "i", "n", "leaf")
+    fixed = places.join(_small(scratch.save(common, "line-fixed")), "key").groupBy("doc_id", "h", "i", "n", "leaf")
     found = fixed.agg(
-        F.expr("bit_xor(key)").alias("k2"), F.count("*").alias("words"), F.sum((F.col("place") >= DEPTH).cast("long")).alias("after"),
+        F.expr("shiftleft(bit_xor(key), 1)").alias("k2"), F.count("*").alias("words"), F.sum((F.col("place") >= DEPTH).cast("long")).alias("after"),
     )
     alike = (F.col("words") >= SIMILARITY * F.col("n")) & (F.col("after") >= SIMILARITY * (F.col("n") - DEPTH))
     return found.where(alike).select(F.col("leaf").alias("k1"), "k2", "doc_id", "h", "i")
@@ -104,16 +106,17 @@ def templates(lines: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id, h, i of the lines to drop; a line may come twice."""
     lines = split_lines(docs)
-    need = F.when(F.col("n") >= LONG, 2).otherwise(MIN_DOCS).alias("need")
     candidates = lines_in_leaves(lines)
-    keys = scratch.save(templates(candidates).select("k1", "k2", "doc_id", "h", "i", F.lit(MIN_DOCS).alias("need")), "line-templates")
-    keys = lines.select("k1", "k2", "doc_id", "h", "i", need).unionByName(keys)
-    met = _texts(keys, "k1", "k2", "need").where("texts >= need").select("k1", "k2", "first")
-    met = scratch.save(met, "line-recurring")
-    gone = keys.join(met, ["k1", "k2"]).where(~_who().eqNullSafe(F.col("first"))).select("doc_id", "h", "i")
-    gone = scratch.save(gone, "line-gone")
-    for done in (lines, candidates, met):
-        scratch.drop(done)
+    keys = scratch.save(templates(candidates).select("k1", "k2", "doc_id", "h", "i"), "line-templates")
+    keys = lines.select("k1", "k2", "doc_id", "h", "i").unionByName(keys)
+    who = F.coalesce("doc_id", F.lit(LAST))
+    each = keys.groupBy("k1", "k2", "h").agg(F.min(who).alias("who"))
+    met = each.groupBy("k1", "k2").agg(F.count("*").alias("texts"), F.min(F.struct("who", "h")).alias("first"))
+    met = met.where(F.col("texts") >= F.when(F.col("k2").bitwiseAND(1) == 1, 2).otherwise(MIN_DOCS))
+    met = scratch.save(met.select("k1", "k2", F.col("first.who").alias("first_who"), F.col("first.h").alias("first_h")), "line-recurring")
+    gone = keys.join(_small(met), ["k1", "k2"]).where((who != F.col("first_who")) | (F.col("h") != F.col("first_h")))
+    gone = scratch.save(gone.select("doc_id", "h", "i"), "line-gone")
+    scratch.drop(lines, candidates, met)
     return gone
 
 
