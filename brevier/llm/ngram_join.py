@@ -48,6 +48,8 @@ TILE_LEAST, TILE_MOST, TILES = 128, 2048, 32
 TILE_GRAMS = 1 << 21
 #: Bits of the map of rows whose sets are fetched: 2 MB, whatever the input.
 CELLS = 1 << 24
+#: Bits of the map of shared prefix n-grams: 4 MB; it only saves rows, the counts after it are exact.
+KEY_CELLS = 1 << 25
 
 
 def _prefix(n: np.ndarray | int, percent: int):
@@ -103,8 +105,21 @@ def _is_hot(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, cut), len(hot) - 1)] == cut
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """Written: key, fp, n, last, size for prefix n-grams that two classes or more share."""
+def _bitmap(cells: DataFrame, size: int) -> np.ndarray:
+    """Bits of the numbers from 0 in the column ``cell``, on the driver: ``size`` / 8 bytes."""
+    word, bit = F.floor(F.col("cell") / 64).alias("word"), F.bit_or(F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")).alias("bits")
+    found = cells.groupBy(word).agg(bit).toPandas()
+    bits = np.zeros(size // 64, np.int64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return bits
+
+
+def _has(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[cells // 64] >> (cells % 64)) & 1 == 1
+
+
+def _prefix_rows(docs: DataFrame, width: int, percent: int, hot: np.ndarray, shared: np.ndarray | None) -> DataFrame:
+    """key, fp, n, last for every prefix n-gram, or for those that the map ``shared`` has."""
     kind = "key long, fp long, n long, last long"
 
     def run(batches):
@@ -112,19 +127,34 @@ def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
             out = [[], [], [], []]
             for s in shingles.shingle_sets(texts, width):
                 if len(s):
-                    p = _prefix(len(s), percent)
-                    keys = np.sort(_signed(s, _is_hot(s, hot)))[:p]
-                    for column, value in zip(out, (keys, shingles.set_id(s), len(s), keys[-1]), strict=True):
-                        column.append(np.broadcast_to(np.int64(value) if np.ndim(value) == 0 else value, p))
+                    keys = np.sort(_signed(s, _is_hot(s, hot)))[: _prefix(len(s), percent)]
+                    last = keys[-1]
+                    if shared is not None:
+                        keys = keys[_has(shared, keys % KEY_CELLS)]
+                    for column, value in zip(out, (keys, shingles.set_id(s), len(s), last), strict=True):
+                        column.append(np.broadcast_to(np.int64(value) if np.ndim(value) == 0 else value, len(keys)))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=_arrow(kind))
 
-    # copies merge before they are dealt out, and no task gets an n-gram's rows as a whole
-    rows = docs.select("doc_id", "text").mapInArrow(run, kind)
-    rows = scratch.save(rows.groupBy("key", "fp").agg(F.first("n").alias("n"), F.first("last").alias("last")), "ngram-rows")
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
+def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """Written: key, fp, n, last, size for prefix n-grams that two classes or more share.
+
+    A first pass finds the shared n-grams by their least and greatest class; a map of fixed
+    size of them tells the second pass which rows may be needed, and sizes are counted on
+    those.  Both passes merge before the shuffle, so copies and very common n-grams don't
+    travel, and no task gets an n-gram's rows as a whole.
+    """
+    every = _prefix_rows(docs, width, percent, hot, None).groupBy("key")
+    shared = scratch.save(every.agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key"), "ngram-shared")
+    bits = _bitmap(shared.select(F.pmod("key", F.lit(KEY_CELLS)).alias("cell")), KEY_CELLS)
+    rows = _prefix_rows(docs, width, percent, hot, bits).groupBy("key", "fp")
+    rows = scratch.save(rows.agg(F.first("n").alias("n"), F.first("last").alias("last")), "ngram-rows")
     sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "ngram-sizes")
     out = scratch.save(rows.join(sizes, "key"), "ngram-prefixes")
-    scratch.drop(rows, sizes)
+    scratch.drop(shared, rows, sizes)
     return out
 
 
@@ -180,18 +210,14 @@ def wanted_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int)
 
     # a bitmap of fixed size tells tasks which rows may be wanted; the join below is exact
     cell = F.pmod(F.xxhash64("doc_id", "place"), F.lit(CELLS)).alias("cell")
-    word = F.floor(F.col("cell") / 64).alias("word")
-    bit = F.bit_or(F.expr("shiftleft(1L, CAST(cell % 64 AS INT))")).alias("bits")
-    found = places.select(cell).groupBy(word).agg(bit).toPandas()
-    bitmap = np.zeros(CELLS // 64, np.int64)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bitmap = _bitmap(places.select(cell), CELLS)
     kind = "doc_id long, place long, fp long, parts array<binary>"
 
     def run(batches):
         cuts = (np.arange(1, FRAGMENTS).astype(np.uint64)) * np.uint64((1 << 64) // FRAGMENTS)
         for batch in batches:
             cells = np.asarray(batch.column("cell"))
-            hits = batch.filter(pa.array((bitmap[cells // 64] >> (cells % 64)) & 1 == 1))
+            hits = batch.filter(pa.array(_has(bitmap, cells)))
             for at, (ids, texts) in _steps(hits):
                 sets = list(shingles.shingle_sets(texts, width))
                 parts = [[p.tobytes() for p in np.split(s, np.searchsorted(s, cuts))] for s in sets]
@@ -315,11 +341,15 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, count
     """doc_id, n_shingles, component_id, place (a hash of the text), root (of the class; null
     for an empty set) for each row of ``docs``, and n_links, the documents it links with.
     Without ``count`` there is no n_links, and pairs already connected are not verified."""
-    sets = document_sets(docs, width, percent)
+    wide = document_sets(docs, width, percent)
+    hot = frequent(wide)
+    sets = scratch.save(wide.select("doc_id", "place", "n", "fp"), "ngram-sets")
+    scratch.drop(wide)
     copies = class_copies(sets)
-    rows = prefixes(docs, width, percent, frequent(sets))
+    rows = prefixes(docs, width, percent, hot)
     pairs = scratch.save(candidate_pairs(rows, percent), "ngram-pairs")
     members = families(rows, copies)
+    scratch.drop(rows)
     pairs = outside_families(pairs, members)
     wanted = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp")))
     wanted = wanted.unionByName(members.select("fp")).distinct()
@@ -330,8 +360,7 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, count
     else:
         links = best_then_rest(pairs, parts, percent)
     tiles = scratch.save(family_links(members, parts, percent), "ngram-tile-links")
-    for done in (parts, rows):
-        scratch.drop(done)
+    scratch.drop(parts)
     roots = components(scratch.save(links.unionByName(tiles.select("x", "y")), "ngram-links"))
     classes = copies.join(scratch.save(roots, "ngram-roots").withColumnRenamed("node", "fp"), "fp", "left")
     if count:

@@ -84,7 +84,7 @@ def _ngram(width: int = 3, percent: int = 90) -> str:
       l AS MATERIALIZED (SELECT a.doc_id AS p, b.doc_id AS q FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
       r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.q, r.root FROM r JOIN l ON l.p = r.id)
-      SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id FROM s
+      SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id, (SELECT count(*) FROM l WHERE l.p = s.doc_id) AS n_links FROM s
       JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY 1) c ON c.id = s.doc_id"""
 
 

@@ -37,7 +37,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = ngram_join.similarity_classes(documents(spark, sf_dir), width=3, percent=90)
-    return classes.select("doc_id", "n_shingles", "component_id")
+    return classes.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
