@@ -361,8 +361,10 @@ def brief_candidates(spark, d):
 
 @register()
 def daily_brief_select(spark, d):
-    near = _edges(spark, d).select("src", "dst")
-    return brief.select_digest(_candidates(spark, d), near, P.brief_limit)
+    rows = _candidates(spark, d)
+    near = similarity.edges_from(S.read(spark, d, "embeddings"), rows.select("id"), P.similar_min, P.neighbours)
+    near = near.join(F.broadcast(rows.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst")
+    return brief.select_digest(rows, near, P.brief_limit)
 
 
 def _batches(rows: DataFrame, kind: str, make) -> DataFrame:
