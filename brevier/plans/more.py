@@ -540,3 +540,35 @@ def hashed_content(spark, d):
 def discovery_gate(spark, d):
     n = S.news(spark, d).agg(F.count_if(F.col("status_content").isin("PENDING", "IN_PROGRESS")).alias("outstanding"))
     return planner.may_discover(n)
+
+
+def _claims_sql(stage: str, rest: str, batch: int) -> str:
+    return f"(SELECT '{stage}' AS stage, id FROM news WHERE {rest} ORDER BY event_at, id LIMIT {batch})"
+
+
+def _drain_sql() -> str:
+    from .queries import LOST, waiting
+
+    ready = f"status_content = 'DONE' AND {TEXT}"
+    return f"""WITH {S.NEWS_SQL} SELECT * FROM {_claims_sql("content", waiting("content"), P.batch_content)}
+      UNION ALL SELECT * FROM {_claims_sql("embedding", f"{ready} AND ({waiting('embedding')} OR {LOST})", P.batch_embedding)}
+      UNION ALL SELECT * FROM {_claims_sql("summary", f"{ready} AND status_embedding = 'DONE' AND event_at <= TIMESTAMP '{P.as_of - P.maturity}' AND {waiting('summary')}", P.batch_summary)}"""
+
+
+@register(_drain_sql())
+def drained_stages(spark, d):
+    from .queries import vectors_as_news
+
+    n = S.news(spark, d)
+    claims = {
+        "content": backlog.claim_content(n, P.as_of, P.lease, P.batch_content),
+        "embedding": backlog.claim_embedding(n, vectors_as_news(spark, d), P.as_of, P.lease, P.batch_embedding),
+        "summary": backlog.claim_summary(n, P.as_of, P.lease, P.maturity, P.batch_summary),
+    }
+    rows = [df.select(F.lit(stage).alias("stage"), "id") for stage, df in claims.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@register("SELECT ts, value, 35 AS target FROM events WHERE event_type = 'view'")
+def raw_series(spark, d):
+    return S.read(spark, d, "events").where("event_type = 'view'").select("ts", "value", F.lit(35).alias("target"))

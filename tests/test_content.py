@@ -92,3 +92,18 @@ def test_profiles_of_unknown_chats_are_errors(spark):
 
 def test_providers():
     assert planner.providers("a", ["b", "a", "c"], {"a", "c"}) == ["a", "c"]
+
+
+def test_feeds_as_a_source(spark, tmp_path):
+    from brevier.sources import fetch
+
+    fetch.register(spark)
+    good, empty = tmp_path / "good.xml", tmp_path / "empty.xml"
+    good.write_text("<rss><item><title>é</title><link>https://x/1</link></item></rss>", encoding="utf-8")
+    empty.write_text("<rss></rss>")
+    options = {"one": f"file://{tmp_path}/none.xml file://{empty} file://{good}", "two": f"file://{empty}"}
+    rows = spark.read.format("feeds").options(**options).load()
+    assert [(r["feed"], r["place"]) for r in rows.collect()] == [("one", 2)]
+    items = feeds.parse_feeds(rows.selectExpr("feed AS source", "body AS xml")).collect()
+    assert [(r["id"], r["title"]) for r in items] == [("https://x/1", "é")]
+    assert fetch.charset('text/xml; charset="ISO-8859-1"') == "ISO-8859-1" and fetch.charset(None) == "utf-8"
