@@ -16,7 +16,11 @@ from ..sources import tables as S
 from ..streaming import alerts
 from .queries import ASOF, COMPONENTS, INTENT, LATEST, SEGMENTS, TEXT, USERS, _edges, day, pct, register
 
-NOW = F.lit(str(P.as_of)).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(str(P.as_of)).cast("timestamp_ntz")
+
 
 # ---- write side -----------------------------------------------------------------------------
 
@@ -311,7 +315,7 @@ def _contains(words, column: str) -> str:
     + CASE WHEN event_at > reference - INTERVAL 4 HOUR THEN 2 WHEN event_at > reference - INTERVAL 12 HOUR THEN 1 ELSE 0 END + 1 AS score FROM t, m""")
 def importance_score(spark, d):
     n = S.news(spark, d)
-    n = n.join(F.broadcast(n.agg(F.coalesce(F.max("event_at"), NOW).alias("reference"))))  # one row
+    n = n.join(F.broadcast(n.agg(F.coalesce(F.max("event_at"), now()).alias("reference"))))  # one row
     lang = X.language(F.col("language"))
     score = X.importance_score(F.lit(""), F.col("content_clean"), F.lit("because"), F.lit(""), F.col("media"), F.col("event_at"), F.col("reference"), lang)
     return n.select("id", score.alias("score"))
@@ -325,7 +329,7 @@ def text_defaults(spark, d):
     n = S.news(spark, d)
     named = X.first_non_blank(F.when(F.col("id") % 2 == 0, " ").otherwise(F.col("media")), F.col("language"))
     return n.select(
-        "id", X.summary_language(F.col("language")).alias("lang"), named.alias("named"), X.freshness(F.col("event_at"), NOW).alias("fresh"),
+        "id", X.summary_language(F.col("language")).alias("lang"), named.alias("named"), X.freshness(F.col("event_at"), now()).alias("fresh"),
         X.duration_text(F.col("id") % 90).alias("took"), X.shortened(F.col("content_clean"), 12000).alias("input"),
     )
 
@@ -444,7 +448,7 @@ def processor_dispatch(spark, d):
 @register(f"""WITH {S.NEWS_SQL} SELECT id, coalesce(claimed_at, event_at) AS brief_at, coalesce(claimed_at, event_at, {ASOF}) AS planner_at FROM news""")
 def event_times(spark, d):
     n = S.news(spark, d)
-    return n.select("id", F.coalesce("claimed_at", "event_at").alias("brief_at"), F.coalesce(F.col("claimed_at"), F.col("event_at"), NOW).alias("planner_at"))
+    return n.select("id", F.coalesce("claimed_at", "event_at").alias("brief_at"), F.coalesce(F.col("claimed_at"), F.col("event_at"), now()).alias("planner_at"))
 
 
 @register("SELECT vec_id, len(embedding)::INT AS dims, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
