@@ -47,3 +47,13 @@ def test_links_of_large_groups(spark):
         texts += near_copies(rng, words, 150, 5)
     texts += texts[:20] + [" ".join(common)]
     check(spark, list(enumerate(texts)))
+
+
+def test_a_large_group_of_copies(spark):
+    """Copies merge before their n-grams are dealt out; each still counts as a document."""
+    words = [f"w{i}" for i in range(100)]
+    near = [*words[:50], "other", *words[51:]]
+    texts = [" ".join(words)] * 5000 + [" ".join(near), "nothing in common with the others here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.similarity_classes(rows, 3, 90).collect()}
+    assert got == {i: (5000, 0) for i in range(5001)} | {5001: (0, 5001)}
