@@ -38,8 +38,12 @@ def test_members_of_a_large_component_come_from_several_tasks(spark, monkeypatch
     monkeypatch.setattr(planner, "ROWS", 1 << 19, raising=False)
     ids = spark.range(3000)
     comp = ids.select("id", F.when(F.col("id") < 2990, 0).otherwise(F.col("id")).alias("component"))
-    got = planner.cluster_of(comp, ids.select((F.col("id") * 2).alias("id")))
-    by = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(by) == 1495 * 2990 + 5 + 1500 and max(by) < 0.8 * sum(by)
-    sums = got.groupBy("asked").agg(F.count("*"), F.sum("member")).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for components too large to send to all tasks
+    try:
+        got = planner.cluster_of(comp, ids.select((F.col("id") * 2).alias("id")))
+        by = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(by) == 1495 * 2990 + 5 + 1500 and max(by) < 0.8 * sum(by)
+        sums = got.groupBy("asked").agg(F.count("*"), F.sum("member")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {tuple(r) for r in sums} == {(i, 2990, 2989 * 1495) if i < 2990 else (i, 1, i) for i in range(0, 6000, 2)}
