@@ -309,7 +309,7 @@ def knn_top5(spark, d):
 
 
 def _edges(spark, d) -> DataFrame:
-    return similarity.similarity_edges(S.read(spark, d, "embeddings"), P.similar_min, P.neighbours)
+    return similarity.similarity_edges(S.read(spark, d, "embeddings"), P.similar_min)
 
 
 @register(f"WITH {EDGES} SELECT src, dst, round(score, 6) AS score FROM edges")
