@@ -213,7 +213,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return scratch.save(docs.select("doc_id", "text").mapInArrow(pieces, PIECES), "pack-pieces")
+    return scratch.save(docs.select("doc_id", "text").mapInArrow(pieces, PIECES), "pack-pieces", scratch.TEXT_BATCH)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
