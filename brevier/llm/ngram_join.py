@@ -78,7 +78,7 @@ def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=_arrow(kind))
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("place"), "text")
-    return scratch.save(rows.mapInArrow(run, kind), "ngram-sets")
+    return scratch.save(rows.mapInArrow(run, kind), "ngram-sets", scratch.TEXT_BATCH)
 
 
 def _steps(batch: pa.RecordBatch):
@@ -148,10 +148,10 @@ def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
     travel, and no task gets an n-gram's rows as a whole.
     """
     every = _prefix_rows(docs, width, percent, hot, None).groupBy("key")
-    shared = scratch.save(every.agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key"), "ngram-shared")
+    shared = scratch.save(every.agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key"), "ngram-shared", scratch.TEXT_BATCH)
     bits = _bitmap(shared.select(F.pmod("key", F.lit(KEY_CELLS)).alias("cell")), KEY_CELLS)
     rows = _prefix_rows(docs, width, percent, hot, bits).groupBy("key", "fp")
-    rows = scratch.save(rows.agg(F.first("n").alias("n"), F.first("last").alias("last")), "ngram-rows")
+    rows = scratch.save(rows.agg(F.first("n").alias("n"), F.first("last").alias("last")), "ngram-rows", scratch.TEXT_BATCH)
     sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "ngram-sizes")
     out = scratch.save(rows.join(sizes, "key"), "ngram-prefixes")
     scratch.drop(shared, rows, sizes)
@@ -230,7 +230,7 @@ def wanted_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int)
     rows = docs.select("doc_id", F.xxhash64("text").alias("place"), "text").select("*", cell)
     sets = rows.mapInArrow(run, kind)
     same = sets["doc_id"].eqNullSafe(places["doc_id"]) & (sets["place"] == places["place"]) & (sets["fp"] == places["fp"])
-    return scratch.save(sets.join(places, same, "left_semi").select("fp", "parts"), "ngram-fragments")
+    return scratch.save(sets.join(places, same, "left_semi").select("fp", "parts"), "ngram-fragments", scratch.TEXT_BATCH)
 
 
 def pair_links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:

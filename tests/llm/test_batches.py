@@ -1,6 +1,6 @@
 """Texts reach the Python workers in batches of bounded size, however many bytes a task has."""
 
-from brevier.llm import packing, token_store
+from brevier.llm import ngram_join, packing, token_store
 from brevier.llm.queries import vocabulary
 from pyspark.sql import functions as F
 
@@ -25,3 +25,18 @@ def test_packing_reads_small_batches(spark, monkeypatch):
     monkeypatch.setattr(packing, "text_steps", _bounded(token_store.text_steps))
     pieces = packing.cut_pieces(_texts(spark), vocabulary("word_bpe_49k.json"), end_id=1)
     assert pieces.select("doc_id").distinct().count() == 120
+
+
+def test_ngram_join_reads_small_batches(spark, monkeypatch):
+    steps = ngram_join._steps
+
+    def bounded(batch):
+        assert batch.nbytes < MOST, batch.nbytes
+        return steps(batch)
+
+    monkeypatch.setattr(ngram_join, "_steps", bounded)
+    monkeypatch.setattr(ngram_join, "text_steps", _bounded(token_store.text_steps))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    classes = ngram_join.similarity_classes(_texts(spark), width=3, percent=90)
+    assert classes.count() == 120
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
